@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.op2_packing import op2_best_two_fit_packing
 from corpusmill.llm.op3_arrow_stream import op3_arrow_stream_output
+from corpusmill.llm.op4_rules import op4_rule_quality
+from corpusmill.llm.op6_media import op6_media_png
 from corpusmill.llm.op8_mixing import OP8_SQL, op8_mix_sources
 
 
@@ -15,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op2_best_two_fit_packing,
         op3_arrow_stream_output,
+        op4_rule_quality,
+        op6_media_png,
         op8_mix_sources,
     )
     return {f.__name__: f for f in found}

@@ -37,10 +37,10 @@ def cut_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str, with
         enc, end = tokens.encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             all_ids, all_texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 200):
-                doc_ids = all_ids[at : at + 200].to_pylist()
+            for a, b in tokens.runs(all_texts):
+                doc_ids = all_ids[a:b].to_pylist()
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(doc_ids, enc.ids_of(all_texts[at : at + 200].to_pylist())):
+                for doc, ids in zip(doc_ids, enc.ids_of(all_texts[a:b].to_pylist())):
                     ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity

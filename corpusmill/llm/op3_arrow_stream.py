@@ -139,13 +139,13 @@ def write_shards(docs: DataFrame, folder: str, seq_len: int = 2048, end_id: int
         fs, base = common.open_store(folder)
         name = f"{shard:06d}-{uuid.uuid4().hex}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
+            for a, b in tokens.runs(batch.column(1)):
                 if out is None:
                     sinks = [fs.open_output_stream(posixpath.join(base, f"{kind}-{name}.arrow")) for kind in ("part", "docs")]
                     out, index = Writer(sinks[0], seq_len, wide), pa.ipc.new_stream(sinks[1], DOCS)
                 rows: tuple[list, list, list] = ([], [], [])
-                ids = batch.column(0)[at : at + 200].to_pylist()
-                for doc, own in zip(ids, enc.ids_of(batch.column(1)[at : at + 200].to_pylist())):
+                ids = batch.column(0)[a:b].to_pylist()
+                for doc, own in zip(ids, enc.ids_of(batch.column(1)[a:b].to_pylist())):
                     own = np.frombuffer(own + end, "<u4")
                     for col, x in zip(rows, (doc, out.tokens, len(own))):
                         col.append(x)

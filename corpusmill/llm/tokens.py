@@ -9,12 +9,16 @@ Stretches around other white space are encoded by the library as they stand.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 
 #: Pieces whose ids a worker keeps before it starts anew; about 210 bytes each.
-KEPT_PIECES = 900_000
+KEPT_PIECES = 1_200_000
 #: Stands for the ids of a piece that begins or ends with white space.
 ODD = b"odd"
 
@@ -92,31 +96,46 @@ class Encoder:
 
     def ids_of(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = list(texts)
-        cut = [t.split(" ") if t and self.byte_level else None for t in texts]
-        get = self.known.get
-        got = [list(map(get, pieces)) if pieces else None for pieces in cut]
-        odd = [i for i, g in enumerate(got) if g and None in g]
-        if odd:
-            now = self._learn({p for i in odd for p, g in zip(cut[i], got[i]) if g is None})
-            for i in odd:
-                got[i] = [now[p] if g is None else g for p, g in zip(cut[i], got[i])]
-        return [self._joined(*x) for x in zip(texts, cut, got)]
+        if not self.byte_level or sum(map(len, filter(None, texts))) < 2000:
+            return [self.plain(t) if t else b"" for t in texts]
+        # split and number the pieces outside Python, look up each distinct one, and put their ids in place at once
+        split = pc.split_pattern(pa.array(texts, pa.large_string()).fill_null(""), " ")
+        coded = split.values.dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
+        pieces = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            now = self._learn([p for p, g in zip(pieces, found) if g is None])
+            found = [now[p] if g is None else g for p, g in zip(pieces, found)]
+        # the first piece of a text has no space before it
+        starts, n = bounds[:-1], len(pieces)
+        heads = [pieces[c] for c in codes[starts]]
+        found += [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(heads, add_special_tokens=False)]
+        codes = codes.astype(np.int64)
+        codes[starts] = n + np.arange(len(texts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        odd = np.fromiter((g is ODD for g in found), bool, len(found))
+        odd[n:] = [not h or _blank(h[-1]) for h in heads]
+        sizes[odd] = 0
+        words = np.frombuffer(b"".join([b"" if o else g for g, o in zip(found, odd.tolist())]), "<u4")
+        per = sizes[codes]
+        ends = np.cumsum(per)
+        take = np.repeat(np.cumsum(sizes)[codes] - ends, per) + np.arange(ends[-1])
+        flat = words[take].tobytes()
+        cuts = 4 * np.r_[0, ends][bounds]
+        odd_docs = np.add.reduceat(odd[codes], starts) > 0
+        return [
+            flat[i:j] if not o else self._mixed(t) if t else b""
+            for t, i, j, o in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), odd_docs.tolist())
+        ]
 
     def ids(self, text: str | None) -> bytes:
         return self.ids_of([text])[0]
 
-    def _joined(self, text: str | None, pieces: list[str] | None, got: list[bytes] | None) -> bytes:
-        if pieces is None:
-            return self.plain(text) if text else b""
-        # the first piece has no space before it, so it is encoded by itself; odd pieces join their neighbours
-        first = pieces[0]
-        if first and not _blank(first[-1]) and ODD not in got[1:]:
-            got[0] = self.plain(first)
-            return b"".join(got)
-        return self._mixed(pieces, got)
-
-    def _mixed(self, pieces: list[str], got: list[bytes]) -> bytes:
-        """A cut is safe before piece i if pieces i-1 and i have no white space at that cut."""
+    def _mixed(self, text: str) -> bytes:
+        """A cut is safe before piece i if pieces i-1 and i have no white space at that cut; odd pieces join their
+        neighbours."""
+        pieces = text.split(" ")
         out, n, i = [], len(pieces), 0
         ends_well = [bool(p) and not _blank(p[-1]) for p in pieces]
         starts_well = [bool(p) and not _blank(p[0]) for p in pieces]
@@ -124,14 +143,26 @@ class Encoder:
             j = i + 1
             while j < n and not (ends_well[j - 1] and starts_well[j]):
                 j += 1
-            if j == i + 1 and i and got[i] != ODD:
-                out.append(got[i])
+            if j == i + 1 and i and (got := self.known.get(pieces[i], ODD)) is not ODD:
+                out.append(got)
             else:
                 out.append(self.plain((" " if i else "") + " ".join(pieces[i:j])))
             i = j
         return b"".join(out)
 
 
+def runs(column: pa.Array, rows: int = 3000, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of a column of texts that hold so many rows and bytes at most (or a single row)."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    a = 0
+    while a < len(sizes):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right"))
+        b = min(max(b, a + 1), a + rows)
+        yield a, min(b, len(sizes))
+        a = b
+
+
 _encoders: dict[str, Encoder] = {}
 
 

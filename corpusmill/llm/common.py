@@ -108,3 +108,50 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         last = (n, total)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def groups(batches, n_keys: int):
+    """Runs of rows with equal values in the first n_keys (integer) columns of record batches that come sorted by
+    them: (key, table) for each. Holds one run at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.r_[0, np.flatnonzero(new), batch.num_rows]
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            own = tuple(int(c[a]) for c in cols)
+            if own != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+class Sets:
+    """Union-find over 0..n-1, for what one task holds."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+        self.left = n
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def union(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        if i == j:
+            return False
+        self.up[max(i, j)] = min(i, j)
+        self.left -= 1
+        return True

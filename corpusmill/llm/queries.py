@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.llm.op10_order_minhash import op10_order_minhash
 from corpusmill.llm.op2_packing import op2_best_two_fit_packing
 from corpusmill.llm.op3_arrow_stream import op3_arrow_stream_output
 from corpusmill.llm.op4_rules import op4_rule_quality
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_norm_bucket_topk,
         op8_mix_sources,
         op9_tiered_shards,
+        op10_order_minhash,
     )
     return {f.__name__: f for f in found}
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.llm.op1_line_dedup import op1_line_dedup
 from corpusmill.llm.op10_order_minhash import op10_order_minhash
 from corpusmill.llm.op2_packing import op2_best_two_fit_packing
 from corpusmill.llm.op3_arrow_stream import op3_arrow_stream_output
@@ -18,6 +19,7 @@ from corpusmill.llm.op9_compaction import op9_tiered_shards
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_line_dedup,
         op2_best_two_fit_packing,
         op3_arrow_stream_output,
         op4_rule_quality,

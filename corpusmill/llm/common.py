@@ -41,6 +41,14 @@ def discard(df: DataFrame) -> None:
     hadoop_delete(df.sparkSession, df._scratch)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done; it does when the driver's JVM collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -193,6 +193,13 @@ def scored(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -
     return rows.select("_doc.*", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model doesn't reject, as they were."""
+    stats = statistics()
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), *(c.alias(k) for k, c in stats.items()))
+    return rows.where(model.column() >= threshold).select("_doc.*")
+
+
 def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = fit_on(docs, common.table(spark, sf_dir, "labels"))

@@ -13,7 +13,7 @@ aren't read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common
@@ -24,10 +24,13 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
 
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, key."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_key"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key(seed).alias("_key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -70,6 +73,26 @@ def mix_sizes(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     return joined.select(*kept, "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself, with docs' columns: a row for each time that a document is taken; the one at the cut has as many
+    of its first words as are taken, and its n_chars, if there is one, counts them anew."""
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("doc")
+    rows = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"), whole)
+    sizes = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", "source", sizes.alias("size"), _key("mix").alias("_key"), "doc")
+    taken = mix_sizes(rows, weights, max_epochs).where("taken > 0")
+    each = taken.select("doc", F.col("size"), "taken", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("_epoch"))
+    left = each.select("doc", "size", F.least(F.col("size"), F.col("taken") - F.col("_epoch") * F.col("size")).alias("_n"))
+    words = F.regexp_extract_all(F.col("doc.text").cast("string"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    text = F.when(F.col("_n") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_n").cast("int")), ""))
+    left = left.select("doc", "size", "_n", text.alias("_text"))
+    own = {"text": F.col("_text").alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        own["n_chars"] = F.when(F.col("_n") == F.col("size"), F.col("doc.n_chars")).otherwise(F.length("_text").cast(kind)).alias("n_chars")
+    return left.select(*(own.get(c, F.col("doc")[c].alias(c)) for c in docs.columns))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.written(sized(common.documents(spark, sf_dir)), "sized")
     return mix_sizes(rows).select("doc_id", "size", "source_size", "target", "taken")

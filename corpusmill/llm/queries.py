@@ -11,6 +11,7 @@ from corpusmill.llm.op10_order_minhash import op10_order_minhash
 from corpusmill.llm.op2_packing import op2_best_two_fit_packing
 from corpusmill.llm.op3_arrow_stream import op3_arrow_stream_output
 from corpusmill.llm.op4_rules import op4_rule_quality
+from corpusmill.llm.op5_suffix import op5_suffix_dedup
 from corpusmill.llm.op6_media import op6_media_png
 from corpusmill.llm.op7_topk import OP7_SQL, op7_norm_bucket_topk
 from corpusmill.llm.op8_mixing import OP8_SQL, op8_mix_sources
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_best_two_fit_packing,
         op3_arrow_stream_output,
         op4_rule_quality,
+        op5_suffix_dedup,
         op6_media_png,
         op7_norm_bucket_topk,
         op8_mix_sources,

@@ -200,13 +200,26 @@ def families(texts: DataFrame) -> DataFrame:
     each = texts.select("id", F.explode("buckets").alias("b"))
     many = each.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("b")
     own = each.join(many, "b", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("b")).alias("bs")).where("size(bs) > 1")
-    two = own.select("id", F.explode(F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 2, SKETCHES), lambda y: F.xxhash64(x, y))))).alias("p"))
-    two = common.written(two, "pairs")
-    star = two.groupBy("p").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("p", "lo")
-    edges = two.join(star, "p").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))
-    found = common.components(edges)
+    own = common.written(own, "buckets")
+    # copies share nearly all buckets: neighbours in the list already connect most of them, and all pairs of buckets are
+    # then looked up once for what is connected, not for each copy
+    some = own.select("id", F.explode(F.transform(F.slice("bs", F.lit(2), F.size("bs") - 1), lambda y, i: F.xxhash64(F.get("bs", i), y))).alias("p"))
+    near = common.written(common.components(_stars(some)), "near")
+    named = own.join(near.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("id"), "bs")
+    pairs = F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 2, SKETCHES), lambda y: F.xxhash64(x, y))))
+    two = common.written(named.select("id", F.explode(pairs).alias("p")).distinct(), "pairs")
+    joined = common.written(common.components(_stars(two)), "joined")
     common.discard(two)
-    return found.select(F.col("node").alias("id"), F.col("component").alias("family"))
+    top = near.select(F.col("node").alias("id"), "component").join(joined.select(F.col("node").alias("component"), F.col("component").alias("family")), "component", "left")
+    top = top.select("id", F.coalesce("family", "component").alias("family"))
+    alone = joined.join(near.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
+    return top.union(alone.select(F.col("node").alias("id"), F.col("component").alias("family")))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """a, b: each id of a p with the least id of that p."""
+    star = rows.groupBy("p").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("p", "lo")
+    return rows.join(star, "p").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))
 
 
 def links(docs: DataFrame, texts: DataFrame, found: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -43,7 +43,7 @@ CHUNK, WINDOWS = 4 << 20, 1_500_000
 
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)  # a chunk with its overlap is shorter
-RUNS = "doc_id long, _x long, p1 int, p2 int, near int, core long, span long"
+RUNS = "doc_id long, _x long, p1 int, p2 int, near int, core long, span long, last int, times int"
 KEY = ["doc_id", "_x"]
 
 
@@ -102,7 +102,8 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, i
 
 
 def sample(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """A row for each sampled suffix: its windows start at p1..p2 of the document, the last one `near` bytes before it."""
+    """A row for each sampled suffix: its windows start at p1..p2 of the document, the last one `near` bytes before it.
+    A suffix whose bytes follow `times` times without a gap, as in a text that repeats one word, is one row up to `last`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +121,15 @@ def sample(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataF
                 ends = (p2 + length).tolist()
                 core = np.array([xxh3_64_intdigest(own[x : x + length - window + 1]) for x in at.tolist()], np.uint64)
                 span = np.array([xxh3_64_intdigest(own[x:y]) for x, y in zip(p1.tolist(), ends)], np.uint64)
+                anew = np.flatnonzero(np.r_[True, (core[1:] != core[:-1]) | (span[1:] != span[:-1]) | (row[1:] != row[:-1]) | (p1[1:] != p2[:-1] + 1)])
+                times = np.diff(np.r_[anew, len(p1)])
+                end_of = p2[anew + times - 1]
+                p1, p2, at, row, core, span = (v[anew] for v in (p1, p2, at, row, core, span))
                 shift = begin - starts[row]
                 keys = [pa.array(v[a + row]) if v is not None else c.take(pa.array(a + row)) for v, c in zip(ids, batch.columns)]
                 ints = [pa.array(v.astype(np.int32)) for v in (p1 + shift, p2 + shift, at - p2)]
-                yield pa.RecordBatch.from_arrays([*keys, *ints, pa.array(core.view(np.int64)), pa.array(span.view(np.int64))], names=["doc_id", "_x", "p1", "p2", "near", "core", "span"])
+                more = [pa.array(v.astype(np.int32)) for v in (end_of + shift, times)]
+                yield pa.RecordBatch.from_arrays([*keys, *ints, pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), *more], names=["doc_id", "_x", "p1", "p2", "near", "core", "span", "last", "times"])
 
     return _texts(docs).mapInArrow(run, RUNS)
 
@@ -218,14 +224,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Data
         raise ValueError("the election's window and its gram must fit into a window of bytes")
     spark = docs.sparkSession
     runs = common.written(sample(docs, length, window), "suffixes")
-    buckets = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
+    buckets = runs.groupBy("core").agg(F.sum("times").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     buckets = buckets.where("n > 1").select("core", (F.col("lo") != F.col("hi")).alias("open"))
     shared = common.written(runs.join(buckets, "core"), "shared")
     common.discard(runs)
     common.sweep(spark)
-    kinds = shared.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_x", "p1", "p2", "near")).alias("one"), F.max("open").alias("open"))
+    kinds = shared.groupBy("core", "span").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "_x", "p1", "p2", "near")).alias("one"), F.max("open").alias("open"))
     kinds = common.written(kinds, "kinds")
-    settled = shared.join(kinds.where("n > 1").select("core", "span"), ["core", "span"], "left_semi").select("doc_id", "_x", "p1", "p2")
+    settled = shared.join(kinds.where("n > 1").select("core", "span"), ["core", "span"], "left_semi").select("doc_id", "_x", "p1", F.col("last").alias("p2"))
     settled = common.written(settled, "settled")
     common.discard(shared)
     common.sweep(spark)

@@ -58,8 +58,13 @@ def mix_sizes(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     by = targets(rows, weights, max_epochs)
     rows = rows.withColumn("_range", F.substring("_key", 1, 4))
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    # prefix sums in two steps of 256: over the beginnings of ranges, and over the ranges of one beginning
+    upto = lambda by, order: F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_top", F.substring("_range", 1, 2))
+    tops = sums.groupBy("source", "_top").agg(F.sum("_sum").alias("_sum")).select("source", "_top", upto(["source"], "_top").alias("_above"))
+    inner = sums.select("source", "_range", "_top", upto(["source", "_top"], "_range").alias("_within"))
+    sums = inner.alias("i").join(tops.alias("t"), F.col("i.source").eqNullSafe(F.col("t.source")) & (F.col("i._top") == F.col("t._top")))
+    sums = sums.select("i.source", "_range", (F.col("_above") + F.col("_within")).alias("_before"))
     # each range's prefix with its source's budget: at most 65,536 rows a source
     sums = sums.alias("s").join(by.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", "b.source_size", "b.target")
     own = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,6 @@
 """Every operator against brute force, on small tables with nulls, empty and repeated rows, and clashing columns."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -402,3 +403,38 @@ def test_components(spark):
     for x in classes.up:
         least[classes.find(x)] = min(least[classes.find(x)], x)
     assert got == {x: least[classes.find(x)] for x in classes.up}
+
+
+def test_long_lines(spark):
+    """One edit in 20 characters whatever the length: replaced words, scattered edits, and lines just beyond."""
+    rnd = random.Random(21)
+    lines = []
+    for n in (45, 58, 60, 61, 62, 79, 80, 119, 120, 121, 126, 199, 200, 209, 399, 400, 650, 900):
+        for _ in range(2 if n < 300 else 1):
+            x = "".join(rnd.choice("abcd efgh") for _ in range(n))
+            lines.append(x)
+            for k in (n // 20, n // 20 + 1):
+                y = list(x)
+                for e in range(k):  # evenly spread, so that no long part stays
+                    p = min(len(y) - 1, (2 * e + 1) * n // (2 * k))
+                    y[p : p + 1] = rnd.choice(["X", "", y[p] + "X"]) if rnd.random() < 0.8 else "X"
+                lines.append("".join(y))
+            p = rnd.randrange(n - n // 20)
+            lines.append(x[:p] + "Y" * (n // 20) + x[p + n // 20 :])
+    near = functools.cache(lambda a, b: abs(len(a) - len(b)) <= (k := min(len(a), len(b)) // 20) and levenshtein(a, b) <= k)
+    want = {(i, j) for i, a in enumerate(lines) for j in range(i + 1, len(lines)) if a == lines[j] or near(a, lines[j])}
+    pairs = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= min(len(a), len(b)) // 20]
+    assert op1_line_dedup.within_edits(*zip(*pairs), None).tolist() == [a == b or near(a, b) for a, b in pairs]
+    classes = Classes()
+    for i, a in enumerate(lines):
+        classes.join(i, i)
+    for i, j in want:
+        classes.join(i, j)
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(lines)], SCHEMA).repartition(5)
+    got = op1_line_dedup.line_classes(docs, None).collect()
+    first = {}
+    for i in range(len(lines)):
+        first.setdefault(classes.find(i), i)
+    assert {r.doc_id: r.class_doc_id for r in got} == {i: first[classes.find(i)] for i in range(len(lines))}
+    assert op1_line_dedup.dedup(docs).count() == len(first)
+    assert op1_line_dedup.line_classes(docs).where("keep").count() > len(first)

@@ -98,11 +98,11 @@ def speaker(text: Column) -> Column:
 
 
 def readable_size(n: Column) -> Column:
-    """A number of bytes in the largest of B, KB, MB, GB, TB that leaves at least one, in steps of 1024."""
+    """A number of bytes in the largest of B, KB, MB, GB, TB that leaves at least one, in steps of 1024; null for null."""
     out = F.format_string("%.2f TB", n / 1024.0**4)
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
         out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.2f {unit}", n / 1024.0**power)).otherwise(out)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 def base_name(path: Column) -> Column:

@@ -415,7 +415,7 @@ def seq_ids(spark, sf):
 
 @query("SELECT doc_id, printf('%.2f %s', CASE WHEN n_chars < 1024 THEN n_chars ELSE round(n_chars / 1024.0, 2) END, CASE WHEN n_chars < 1024 THEN 'B' ELSE 'KB' END) AS size FROM documents WHERE n_chars < 1000000")
 def readable_sizes(spark, sf):
-    return _docs(spark, sf).where("n_chars < 1000000").select("doc_id", text.readable_size(F.col("n_chars")).alias("size"))
+    return _docs(spark, sf).select("doc_id", text.readable_size(F.col("n_chars")).alias("size"))
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', '') AS base FROM pages")

@@ -8,6 +8,7 @@ from corpusmill.functions import collections as col
 from corpusmill.functions import posclass, text
 from corpusmill.functions.termset import ANY, EMPTY, TermSet, whole
 from corpusmill.operators import datasets, lexicon, matrix, ranking, samples, spans, tokens
+from corpusmill.plans import catalogue
 from corpusmill.plans.corpus import Corpus
 
 
@@ -196,3 +197,11 @@ def test_settings(tmp_path):
     assert (s.min_term_freq, s.quiet, s.annotators, s.cooc_w_pre, s.folder("index_dir")) == (7, True, ("a", "b"), 10, "/h/data/index")
     with pytest.raises(ValueError):
         Settings().with_values({"nothing": "1"})
+
+
+def test_sizes_of_all_documents(spark, tmp_path):
+    sizes = [None, 0, 1023, 1024, 1536, 999_999, 1_000_000, 1024**2 - 1, 1024**2, 3 * 1024**2 // 2, 1024**3, 1024**4, 5 * 1024**4]
+    spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.size for r in catalogue.readable_sizes(spark, str(tmp_path)).collect()}
+    want = [None, "0.00 B", "1023.00 B", "1.00 KB", "1.50 KB", "976.56 KB", "976.56 KB", "1024.00 KB", "1.00 MB", "1.50 MB", "1.00 GB", "1.00 TB", "5.00 TB"]
+    assert got == dict(enumerate(want))

@@ -466,6 +466,13 @@ def spans_covering(spark, sf):
     return pairs.select("doc_id", (F.col("s_ann_id") - 1_000_000).alias("word"), F.col("c_ann_id").alias("paragraph"))
 
 
+@query(f"WITH {PARAS}, {WORDS} SELECT w.doc_id, w.pos AS word, p.ann_id AS paragraph FROM words w JOIN paras p ON w.doc_id = p.doc_id AND p.b <= w.b AND p.e >= w.e")
+def spans_covering_all(spark, sf):
+    words = _word_annotations(spark, sf).withColumn("ann_id", F.col("ann_id") + 1_000_000)
+    pairs = spans.covering(words, spans.paragraphs(_docs(spark, sf)))
+    return pairs.select("doc_id", (F.col("s_ann_id") - 1_000_000).alias("word"), F.col("c_ann_id").alias("paragraph"))
+
+
 @query(f"""WITH {PARAS} SELECT p.doc_id, p.ann_id, d.lang AS "doc_Collection", p.ann_id::VARCHAR AS seg_id, p.ann_id::VARCHAR AS para_id, '1' AS seg_level FROM paras p JOIN documents d USING (doc_id)""")
 def segment_metadata(spark, sf):
     docs = _docs(spark, sf)

@@ -205,3 +205,8 @@ def test_sizes_of_all_documents(spark, tmp_path):
     got = {r.doc_id: r.size for r in catalogue.readable_sizes(spark, str(tmp_path)).collect()}
     want = [None, "0.00 B", "1023.00 B", "1.00 KB", "1.50 KB", "976.56 KB", "976.56 KB", "1024.00 KB", "1.00 MB", "1.50 MB", "1.00 GB", "1.00 TB", "5.00 TB"]
     assert got == dict(enumerate(want))
+
+
+def test_covering_takes_short_words(spark):
+    sf = "/root/testdata/sf0.001"
+    assert catalogue.spans_covering_all(spark, sf).count() > 10 * catalogue.spans_covering(spark, sf).count()

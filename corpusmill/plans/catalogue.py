@@ -429,6 +429,12 @@ def decoded_values(spark, sf):
     return rows.select("event_id", text.decode(F.substring("props", 1, 3), "INTEGER").alias("n"), text.decode(F.col("user_id").cast("string"), "REAL").alias("x"))
 
 
+@query("SELECT event_id, try_cast(regexp_extract(props, '[0-9]+') AS INTEGER) AS n, try_cast(props AS INTEGER) AS whole FROM events")
+def decoded_props(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return rows.select("event_id", text.decode(F.regexp_extract("props", "[0-9]+", 0), "INTEGER").alias("n"), text.decode(F.col("props"), "INTEGER").alias("whole"))
+
+
 @query(r"""WITH t AS (SELECT conv_id, turn, unnest(x) AS token, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}£]+|\.') AS x FROM conversations)),
 n AS (SELECT *, lag(token) OVER w AS prev, lead(token) OVER w AS next FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))
 SELECT conv_id, turn, pos::INT AS pos, CASE WHEN regexp_matches(prev, '^Knt|Serj|Esq|viz|£|[0-9]+[lsd]$') THEN 'YES' ELSE 'NO' END AS dump FROM n WHERE token = '.' AND regexp_full_match(next, '[a-z]')""")

@@ -210,3 +210,8 @@ def test_sizes_of_all_documents(spark, tmp_path):
 def test_covering_takes_short_words(spark):
     sf = "/root/testdata/sf0.001"
     assert catalogue.spans_covering_all(spark, sf).count() > 10 * catalogue.spans_covering(spark, sf).count()
+
+
+def test_props_are_decoded(spark):
+    rows = catalogue.decoded_props(spark, "/root/testdata/sf0.001")
+    assert rows.where("n is not null").count() == rows.count() > 0

@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import json
 import posixpath
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -134,29 +135,40 @@ class ShardStore:
             merged = StructType([*schema.fields, *(f for f in arrival.schema.fields if f.name not in have)])
         return self.commit(base, [*shards, *self._files(folder, arrival.schema)], merged if schema is not None else arrival.schema)
 
+    def merge(self) -> bool:
+        """One round: merges the runs of all tiers and commits that as a version; False if no tier has a run."""
+        base = self.version()
+        shards, schema = self.manifest(base)
+        runs = plan(shards, self.target, self.fan_in)
+        if not runs:
+            return False
+        new: list[Shard] = []
+        for at in range(0, len(runs), RUNS_IN_A_JOB):
+            folder = posixpath.join(self.folder, f"data-{uuid.uuid4().hex}")
+            each = [self.spark.read.schema(schema).parquet(*(s.path for s in run)).coalesce(1) for run in runs[at : at + RUNS_IN_A_JOB]]
+            functools.reduce(DataFrame.unionAll, each).write.parquet(folder)
+            new += self._files(folder, schema)
+        gone = {s.path for run in runs for s in run}
+        if sum(s.rows for s in new) != sum(s.rows for run in runs for s in run):
+            raise RuntimeError("merged shards differ in their rows")
+        self.commit(base, [s for s in shards if s.path not in gone] + new, schema)
+        return True
+
     def compact(self) -> int:
-        """Merges until no tier has a run left, a version for each round; returns the last version."""
-        while True:
-            base = self.version()
-            shards, schema = self.manifest(base)
-            runs = plan(shards, self.target, self.fan_in)
-            if not runs:
-                return base
-            new: list[Shard] = []
-            for at in range(0, len(runs), RUNS_IN_A_JOB):
-                folder = posixpath.join(self.folder, f"data-{uuid.uuid4().hex}")
-                each = [self.spark.read.schema(schema).parquet(*(s.path for s in run)).coalesce(1) for run in runs[at : at + RUNS_IN_A_JOB]]
-                functools.reduce(DataFrame.unionAll, each).write.parquet(folder)
-                new += self._files(folder, schema)
-            gone = {s.path for run in runs for s in run}
-            if sum(s.rows for s in new) != sum(s.rows for run in runs for s in run):
-                raise RuntimeError("merged shards differ in their rows")
-            self.commit(base, [s for s in shards if s.path not in gone] + new, schema)
-            self.vacuum()
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes shards that none of the last `keep` versions names, and older manifests."""
+        """Merges until no tier has a run left, a version for each round; returns the last version. Earlier versions
+        and their files stay until the caller's vacuum."""
+        while self.merge():
+            pass
+        return self.version()
+
+    def vacuum(self, keep: int = 2, orphan_age: float = 86_400) -> None:
+        """Deletes manifests before the last `keep` versions and shards that only they name. Files that no manifest
+        names may belong to a write that isn't committed yet; they go `orphan_age` seconds after they were written."""
         last = self.version()
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.folder))]
+        listed = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
+        named = {s.path for v in listed for s in self.manifest(v)[0]}
+        before = (time.time() - orphan_age) * 1000
         versions = range(max(1, last - keep + 1), last + 1)
         live = {s.path for v in versions for s in self.manifest(v)[0]}
         for d in self.fs.listStatus(self._path(self.folder)):
@@ -166,7 +178,8 @@ class ShardStore:
             elif name.startswith("data-"):
                 folder = posixpath.join(self.folder, name)
                 for f in self.fs.listStatus(d.getPath()):
-                    if f.getPath().getName().startswith("part-") and posixpath.join(folder, f.getPath().getName()) not in live:
+                    path = posixpath.join(folder, f.getPath().getName())
+                    if f.getPath().getName().startswith("part-") and path not in live and (path in named or f.getModificationTime() < before):
                         self.fs.delete(f.getPath(), False)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -182,7 +195,9 @@ def op9_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, the shard's tier and the manifest's version."""
     store = ShardStore(spark, common.scratch_path(spark, "shards"), target_bytes=64 << 20, base_bytes=4 << 20)
     store.append(common.documents(spark, sf_dir), max_records=2000)
-    version = store.compact()
+    while store.merge():
+        store.vacuum(keep=1)  # nobody else reads or writes this store
+    version = store.version()
     shards, _ = store.manifest(version)
     rows = [(posixpath.basename(s.path), i, s.tier) for i, s in enumerate(shards)]  # one row a file
     names = spark.createDataFrame(rows, "_shard string, shard int, tier int")

@@ -438,3 +438,19 @@ def test_long_lines(spark):
     assert {r.doc_id: r.class_doc_id for r in got} == {i: first[classes.find(i)] for i in range(len(lines))}
     assert op1_line_dedup.dedup(docs).count() == len(first)
     assert op1_line_dedup.line_classes(docs).where("keep").count() > len(first)
+
+
+def test_compaction_keeps_versions(spark, docs, rows):
+    store = op9_compaction.ShardStore(spark, common.scratch_path(spark, "store"), target_bytes=1 << 20, base_bytes=1 << 10, fan_in=3)
+    for k in range(4):
+        store.append(docs.where(f"pmod(coalesce(doc_id, 0), 4) = {k}").coalesce(1))
+    old, reader = store.version(), store.read()
+    in_flight = f"{store.folder}/data-in-flight"
+    docs.coalesce(1).write.parquet(in_flight)
+    assert store.compact() > old
+    assert reader.count() == store.read(old).count() == store.read().count() == len(rows)
+    store.vacuum(keep=1)
+    assert spark.read.parquet(in_flight).count() == len(rows)
+    assert store.read().count() == len(rows) and len([f for f in store.fs.listStatus(store._path(store.folder)) if f.getPath().getName().startswith("manifest-")]) == 1
+    store.vacuum(keep=1, orphan_age=-60)
+    assert not [f for f in store.fs.listStatus(store._path(in_flight)) if f.getPath().getName().startswith("part-")]

@@ -3,6 +3,7 @@ the identity of document rows, and connected components."""
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import tempfile
 import uuid
@@ -87,19 +88,19 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int | None = None) -> DataFrame:
     """Connected components of an undirected graph given as edges (a, b) of longs.
 
     Returns (node, component), component being the smallest node of each; only nodes that have an edge occur.
     Alternates large-star and small-star steps until the edges stop changing, which takes a logarithmic number of
     rounds. Each round's edges are written to the shared folder, so nothing is collected and a lost executor costs
-    one round at most. A hub's neighbours never meet in a task: minima are aggregates that combine before the
+    one round at most. If max_rounds is given and not enough, that is an error. A hub's neighbours never meet in a task: minima are aggregates that combine before the
     shuffle, and the edges join them as Spark's skew-splittable joins.
     """
     empty = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     now = written(empty.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         # large star: every larger neighbour of a node points at the node's least neighbour (or itself)
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -114,6 +115,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if (n, total) == last:
             break
         last = (n, total)
+    else:
+        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

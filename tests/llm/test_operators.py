@@ -454,3 +454,10 @@ def test_compaction_keeps_versions(spark, docs, rows):
     assert store.read().count() == len(rows) and len([f for f in store.fs.listStatus(store._path(store.folder)) if f.getPath().getName().startswith("manifest-")]) == 1
     store.vacuum(keep=1, orphan_age=-60)
     assert not [f for f in store.fs.listStatus(store._path(in_flight)) if f.getPath().getName().startswith("part-")]
+
+
+def test_components_settle_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(path, max_rounds=1)
+    assert {r.component for r in common.components(path).collect()} == {0}

@@ -28,6 +28,8 @@ from corpusmill.llm import common, tokens
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that a task ranks together at most, about.
 RANKED_TOGETHER = 500_000
+#: Rows of the table of places that are broadcast at most; each has at most `capacity` offsets, a few as a rule.
+BROADCAST_ROWS = 50_000
 
 
 def cut_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str, with_ids: bool = False) -> DataFrame:
@@ -40,7 +42,7 @@ def cut_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str, with
             for a, b in tokens.runs(all_texts):
                 doc_ids = all_ids[a:b].to_pylist()
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(doc_ids, enc.ids_of(all_texts[a:b].to_pylist())):
+                for doc, ids in zip(doc_ids, enc.ids_of(all_texts[a:b])):
                     ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity
@@ -134,12 +136,14 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("_n", F.row_number().over(own) - 1).join(groups, ["length", "_salt"]).withColumn("_rank", F.col("_n") + F.col("_before"))
-    # a row for each length and pattern: bounded by the capacity, not by the input
+    # a row for each length and pattern of a bin; a pattern that is used up uses up one of its lengths
     rows = places(best_two_fit(counts, capacity))
     table = spark.createDataFrame(rows, "length long, _from long, _to long, _seq long, _offsets array<int>")
+    if len(rows) <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     at = F.col("_rank") - F.col("_from")
     width = F.size("_offsets")
-    joined = ranked.alias("p").join(F.broadcast(table).alias("t"), (F.col("p.length") == F.col("t.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    joined = ranked.alias("p").join(table.alias("t"), (F.col("p.length") == F.col("t.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     kept = [F.col(f"p.{c}") for c in pieces.columns]
     return joined.select(*kept, (F.col("_seq") + F.floor(at / width)).cast("long").alias("sequence_id"), F.get("_offsets", F.pmod(at, width).cast("int")).cast("long").alias("offset"))
 

@@ -11,7 +11,8 @@ sequences at a time, and writes under a name of its own attempt; only files name
 a shard, count, so that a task that runs twice or dies leaves nothing that is read.
 
 Cases: a null text is empty (the end id alone); a null doc_id comes first; rows of one doc_id follow by a hash of
-their text; an empty table gives no shards; other columns aren't read.
+their text; an id that doesn't fit the shard's width is an error; an empty table gives no shards; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ from corpusmill.llm import common, tokens
 
 #: Sequences in a batch of the file.
 BATCH = 64
+#: Text of a shard, about.
+SHARD_BYTES = 128 << 20
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
 
@@ -51,6 +53,8 @@ class Writer:
         self.full = self.tokens = self.sequences = 0
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {int(ids.max())} doesn't fit into {self.dtype.itemsize} bytes: write wide shards")
         self.tokens += len(ids)
         while len(ids):
             n = min(len(ids), len(self.room) - self.full)
@@ -77,26 +81,26 @@ class Writer:
 
 
 class Shard:
-    """Random access to a stream file of Writer: no copy, nothing read but what is asked for."""
+    """Random access to a stream file of Writer: no copy where the file is mapped, and nothing read but the batches that
+    are asked for."""
 
-    def __init__(self, buffer: pa.Buffer, seq_len: int, wide: bool):
-        self.buffer, self.seq_len, self.schema = buffer, seq_len, file_schema(seq_len, wide)
+    def __init__(self, source: pa.NativeFile, seq_len: int, wide: bool):
+        self.source, self.seq_len, self.schema = source, seq_len, file_schema(seq_len, wide)
         self.dtype = np.dtype("<u4" if wide else "<u2")
-        reader = pa.BufferReader(buffer)
-        if pa.ipc.read_message(reader).type != "schema":
+        if pa.ipc.read_message(source).type != "schema":
             raise ValueError("not an Arrow stream")
-        self.first = reader.tell()
+        self.first = source.tell()
         try:
-            pa.ipc.read_message(reader)
-            self.step = reader.tell() - self.first
+            pa.ipc.read_message(source)
+            self.step = source.tell() - self.first
         except EOFError:
             self.step = 0
         self._at, self._ids, self._mask = -1, None, None
 
     def _batch(self, k: int) -> None:
         if k != self._at:
-            message = pa.ipc.read_message(self.buffer.slice(self.first + k * self.step))
-            batch = pa.ipc.read_record_batch(message, self.schema)
+            self.source.seek(self.first + k * self.step)
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
             self._at, self._ids, self._mask = k, batch.column(0).values.to_numpy(), batch.column(1).values
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
@@ -118,16 +122,16 @@ class Shard:
 
 def open_shard(path: str, seq_len: int, wide: bool) -> Shard:
     fs, p = common.open_store(path)
-    if fs.type_name == "local":
-        return Shard(pa.memory_map(p).read_buffer(), seq_len, wide)
-    with fs.open_input_file(p) as f:
-        return Shard(f.read_buffer(), seq_len, wide)
+    return Shard(pa.memory_map(p) if fs.type_name == "local" else fs.open_input_file(p), seq_len, wide)
 
 
-def write_shards(docs: DataFrame, folder: str, seq_len: int = 2048, end_id: int = 0, tokenizer: str | None = None, shards: int | None = None, wide: bool = False) -> list[dict]:
-    """Writes all documents and returns the manifest: a row for each shard, in order, with `start`, its first id's place."""
+def write_shards(docs: DataFrame, folder: str, seq_len: int = 2048, end_id: int = 0, tokenizer: str | None = None, shards: int | None = None, wide: bool | None = None) -> list[dict]:
+    """Writes all documents and returns the manifest: a row for each shard, in order, with `start`, its first id's place.
+    If not given, the ids' width follows from the size of the vocabulary, and shards are as many as keep each to about
+    SHARD_BYTES of text."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokens.tokenizer_path()
+    wide = is_wide(tokenizer, end_id) if wide is None else wide
     if spark.conf.get("spark.master", "").startswith("local") or folder.startswith("file:"):
         common.open_store(folder)[0].create_dir(common.open_store(folder)[1], recursive=True)
 
@@ -145,7 +149,7 @@ def write_shards(docs: DataFrame, folder: str, seq_len: int = 2048, end_id: int
                     out, index = Writer(sinks[0], seq_len, wide), pa.ipc.new_stream(sinks[1], DOCS)
                 rows: tuple[list, list, list] = ([], [], [])
                 ids = batch.column(0)[a:b].to_pylist()
-                for doc, own in zip(ids, enc.ids_of(batch.column(1)[a:b].to_pylist())):
+                for doc, own in zip(ids, enc.ids_of(batch.column(1)[a:b])):
                     own = np.frombuffer(own + end, "<u4")
                     for col, x in zip(rows, (doc, out.tokens, len(own))):
                         col.append(x)
@@ -159,7 +163,7 @@ def write_shards(docs: DataFrame, folder: str, seq_len: int = 2048, end_id: int
                 s.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [posixpath.join(folder, name)], "n_docs": [n_docs], "n_tokens": [out.tokens], "n_sequences": [out.sequences]})
 
-    n = shards or common.parts(spark)
+    n = shards or max(common.parts(spark), -(-(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = [r.asDict() for r in ranged.mapInArrow(run, MANIFEST).collect()]  # one row a shard
@@ -169,12 +173,17 @@ def write_shards(docs: DataFrame, folder: str, seq_len: int = 2048, end_id: int
     return manifest
 
 
+def is_wide(tokenizer: str, end_id: int) -> bool:
+    """Whether the vocabulary's ids need more than 16 bits."""
+    return max(tokens.encoder(tokenizer).lib.get_vocab_size(), end_id + 1) > 1 << 16
+
+
 def read_documents(spark: SparkSession, manifest: list[dict], seq_len: int = 2048, wide: bool = False) -> DataFrame:
     """Every document read back from the shards: doc_id, start, n_tokens, ids_crc32, shard."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for folder, first, shard in zip(frame["path"], frame["start"], frame["shard"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for folder, first, shard in zip(*(rows.column(k).to_pylist() for k in ("path", "start", "shard"))):
                 base, name = posixpath.split(folder)
                 data = open_shard(posixpath.join(base, f"part-{name}.arrow"), seq_len, wide)
                 fs, p = common.open_store(posixpath.join(base, f"docs-{name}.arrow"))
@@ -182,13 +191,14 @@ def read_documents(spark: SparkSession, manifest: list[dict], seq_len: int = 204
                     for batch in index:
                         starts, sizes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                         crcs = [zlib.crc32(data.tokens(a, n).astype("<u4").tobytes()) for a, n in zip(starts, sizes)]
-                        yield pd.DataFrame({"doc_id": batch.column(0).to_pandas().astype("Int64"), "start": [first + a for a in starts], "n_tokens": sizes, "ids_crc32": crcs, "shard": int(shard)})
+                        cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in ([first + a for a in starts], sizes, crcs)), pa.array([shard] * len(sizes), pa.int32())]
+                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
     if not manifest:
         return spark.createDataFrame([], out)
     rows = spark.createDataFrame([(r["shard"], r["path"], r["start"]) for r in manifest], "shard int, path string, start long")
-    return rows.repartition(len(manifest)).mapInPandas(run, out)
+    return rows.repartition(len(manifest)).mapInArrow(run, out)
 
 
 def op3_arrow_stream_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,30 @@
 """Token ids of whole texts, from a public tokenizer file.
 
 A byte-level tokenizer first splits a text into words, each with at most one space before it, and then encodes every
-word by itself. A single space between two characters that are not white space always begins a new word, so a text
-may be cut there: the ids of the pieces, joined, are the ids of the text. Pieces recur, so their ids are kept.
-Stretches around other white space are encoded by the library as they stand.
+word by itself. A text may be cut before a space, around a line end, and between a Latin letter and a run of marks:
+these always part words where at most two white spaces stand together, so the ids of the pieces, joined, are the ids
+of the text. Cutting and numbering the pieces run outside Python; each distinct piece is looked up once a batch, and
+new ones go to the library in one call. Texts with other white space are encoded by the library as they stand.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-
-#: Pieces whose ids a worker keeps before it starts anew; about 210 bytes each.
-KEPT_PIECES = 1_200_000
-#: Stands for the ids of a piece that begins or ends with white space.
-ODD = b"odd"
+#: Pieces (about 180 bytes each) and ids that a worker keeps before it forgets the later pieces, or all.
+KEPT_PIECES, KEPT_IDS = 1_200_000, 20_000_000
+#: Stands between pieces; a text that holds it is left to the library.
+CUT = "\x01"
+#: A letter (all of them are, for any regular-expression library) and marks that no word of letters holds; an
+#: apostrophe is none, as a contraction holds it.
+LETTER_MARKS = r"([a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~]+)"
+#: Three white spaces together, two at the end of the text, or whatever any library might call white space.
+ODD = r"[ \n]{3}|[ \n]{2}$|[\x00-\x09\x0B-\x1F\x7F-\xA0\x{180E}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]"
 
 
 def tokenizer_path() -> str:
@@ -29,127 +33,83 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _blank(c: str) -> bool:
-    # whatever any regular-expression library might call white space
-    return c.isspace() or c in "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff"
-
-
 class Encoder:
-    """ids(text) as bytes of little-endian unsigned 32-bit integers."""
+    """ids_of(texts): for each text its ids as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # a text that spells a special token is ordinary text
         self.byte_level = "ByteLevel" in str(self.lib.pre_tokenizer) and self.lib.normalizer is None
-        self.known: dict[str, bytes] = {}
-        self.tails = {c: self.plain(c) for c in ".,!?;:|"}
+        self._reset()
+
+    def _reset(self) -> None:
+        # the ids of all known pieces, one after the other; a piece's number leads to its start and size there
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.sizes = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def plain(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of pieces, each of which stands after a space. A letter and then a mark of tails is a boundary of words
-        too, and so is a lone line end between other characters; hence "word," is "word" and ",", "end.\\nNew" is
-        "end." and "\\nNew". The parts that are new go to the library in one call."""
-        known, tails = self.known, self.tails
-        now, lines, tailed, new = {}, {}, [], set()
-
-        def part(x: str) -> None:
-            if x in known:
-                return
-            if len(x) > 1 and x[-1] in tails and x[-2].isalpha():
-                tailed.append(x)
-                x = x[:-1]
-                if x in known:
-                    return
-            new.add(x)
-
-        for p in pieces:
-            if not p or _blank(p[0]) or _blank(p[-1]):
-                now[p] = ODD
-            elif "\n" not in p:
-                part(p)
-            else:
-                row = p.split("\n")
-                if all(row) and not any(_blank(x[0]) or _blank(x[-1]) for x in row):
-                    lines[p] = row = [row[0], *(" \n" + x for x in row[1:])]  # no piece holds a space
-                    for x in row:
-                        part(x)
-                else:
-                    new.add(p)
-        new = list(new)
-        for x, e in zip(new, self.lib.encode_batch_fast([x[1:] if x[0] == " " else " " + x for x in new], add_special_tokens=False)):
-            now[x] = array("I", e.ids).tobytes()
-        for x in tailed:
-            stem = x[:-1]
-            now[x] = (now[stem] if stem in now else known[stem]) + tails[x[-1]]
-        for p, row in lines.items():
-            now[p] = b"".join([now[x] if x in now else known[x] for x in row])
-        if len(known) + len(now) > KEPT_PIECES:
-            kept = list(islice(known.items(), 2 * KEPT_PIECES // 3))  # words met early are the frequent ones
-            known.clear()
-            known.update(kept)
-        known.update((p, e) for p, e in now.items() if len(p) < 40 and p not in lines)
-        return now
-
-    def ids_of(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = list(texts)
-        if not self.byte_level or sum(map(len, filter(None, texts))) < 2000:
-            return [self.plain(t) if t else b"" for t in texts]
-        # split and number the pieces outside Python, look up each distinct one, and put their ids in place at once
-        split = pc.split_pattern(pa.array(texts, pa.large_string()).fill_null(""), " ")
+    def _learn(self, pieces: list[str]) -> None:
+        """Numbers new pieces in their order."""
+        ids = [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(sizes.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + total))
+        self.flat[self.used : self.used + total] = np.fromiter((x for e in ids for x in e), np.uint32, total)
+        self.starts = np.r_[self.starts, self.used + np.cumsum(sizes, dtype=np.int32) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.used += total
+        n = len(self.known)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+
+    def _forget(self) -> None:
+        """Keeps the pieces met first, which are the frequent ones."""
+        n = KEPT_PIECES // 2
+        self.known = {p: i for p, i in self.known.items() if i < n}
+        self.starts, self.sizes = self.starts[:n].copy(), self.sizes[:n].copy()
+        self.used = int(self.starts[-1] + self.sizes[-1])
+        self.flat = self.flat[: self.used].copy()
+
+    def ids_of(self, texts: Iterable[str | None] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
+        column = column.cast(pa.large_string()).fill_null("")
+        if not self.byte_level or (pc.sum(pc.binary_length(column)).as_py() or 0) < 2000:
+            return [self.plain(t) if t else b"" for t in column.to_pylist()]
+        odd = pc.match_substring_regex(column, ODD)
+        cut = pc.replace_substring(pc.if_else(odd, "", column), " ", CUT + " ")
+        cut = pc.replace_substring(cut, "\n", f"{CUT}\n{CUT}")
+        cut = pc.replace_substring_regex(cut, LETTER_MARKS, rf"\1{CUT}\2")
+        split = pc.split_pattern(cut, CUT)
         coded = split.values.dictionary_encode()
         codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
         pieces = coded.dictionary.to_pylist()
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            now = self._learn([p for p, g in zip(pieces, found) if g is None])
-            found = [now[p] if g is None else g for p, g in zip(pieces, found)]
-        # the first piece of a text has no space before it
-        starts, n = bounds[:-1], len(pieces)
-        heads = [pieces[c] for c in codes[starts]]
-        found += [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(heads, add_special_tokens=False)]
-        codes = codes.astype(np.int64)
-        codes[starts] = n + np.arange(len(texts))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        odd = np.fromiter((g is ODD for g in found), bool, len(found))
-        odd[n:] = [not h or _blank(h[-1]) for h in heads]
-        sizes[odd] = 0
-        words = np.frombuffer(b"".join([b"" if o else g for g, o in zip(found, odd.tolist())]), "<u4")
+        if self.used > KEPT_IDS:
+            self._reset()
+        elif len(self.known) + len(pieces) > KEPT_PIECES:
+            self._forget() if len(pieces) < KEPT_PIECES // 2 < len(self.known) else self._reset()
+        known = self.known
+        if new := [p for p in pieces if p not in known]:
+            self._learn(new)
+        number = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
+        starts, sizes = self.starts[number], self.sizes[number]
         per = sizes[codes]
-        ends = np.cumsum(per)
-        take = np.repeat(np.cumsum(sizes)[codes] - ends, per) + np.arange(ends[-1])
-        flat = words[take].tobytes()
+        ends = np.cumsum(per, dtype=np.int64)
+        take = np.repeat((starts[codes] - (ends - per)).astype(np.int32), per)
+        take += np.arange(len(take), dtype=np.int32)
+        flat = memoryview(self.flat[take]).cast("B")
         cuts = 4 * np.r_[0, ends][bounds]
-        odd_docs = np.add.reduceat(odd[codes], starts) > 0
-        return [
-            flat[i:j] if not o else self._mixed(t) if t else b""
-            for t, i, j, o in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), odd_docs.tolist())
-        ]
+        out = [bytes(flat[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self.plain(column[k].as_py())
+        return out
 
     def ids(self, text: str | None) -> bytes:
         return self.ids_of([text])[0]
 
-    def _mixed(self, text: str) -> bytes:
-        """A cut is safe before piece i if pieces i-1 and i have no white space at that cut; odd pieces join their
-        neighbours."""
-        pieces = text.split(" ")
-        out, n, i = [], len(pieces), 0
-        ends_well = [bool(p) and not _blank(p[-1]) for p in pieces]
-        starts_well = [bool(p) and not _blank(p[0]) for p in pieces]
-        while i < n:
-            j = i + 1
-            while j < n and not (ends_well[j - 1] and starts_well[j]):
-                j += 1
-            if j == i + 1 and i and (got := self.known.get(pieces[i], ODD)) is not ODD:
-                out.append(got)
-            else:
-                out.append(self.plain((" " if i else "") + " ".join(pieces[i:j])))
-            i = j
-        return b"".join(out)
-
 
 def runs(column: pa.Array, rows: int = 3000, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a column of texts that hold so many rows and bytes at most (or a single row)."""

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from corpusmill.llm import common, op1_line_dedup, op2_packing, op3_arrow_stream, op4_rules, op5_suffix, op6_media, op7_topk, op8_mixing, op9_compaction, op10_order_minhash, tokens
 
@@ -102,6 +104,75 @@ def test_lines(docs, rows):
         assert (r.class_doc_id, r.class_line_no) == (key[0], key[2])
 
 
+def taken_by_hand(size, value, gram=9):
+    """For each line, whether the taken grams are all up to some place in the order, with enough of them side by side."""
+    at, out, begin = op1_line_dedup.taken(size, value).tolist(), [], 0
+    for n in size.tolist():
+        own = [p for p in at if begin <= p < begin + n]
+        inside = range(begin, begin + n - gram + 1)
+        worst = max(value[p] for p in own)
+        assert sorted(p for p in inside if value[p] <= worst) == own
+        apart, end = 0, begin
+        for p in own:
+            if p >= end:
+                apart, end = apart + 1, p + gram
+        assert apart > n // 20
+        begin += n
+        out.append(len(own))
+    return out
+
+
+def test_taken_grams():
+    rnd = np.random.default_rng(8)
+    size = rnd.integers(60, 3000, 40)
+    value = rnd.integers(0, 1 << 60, int(size.sum()) - 8).astype(np.uint64)
+    assert sum(taken_by_hand(size, value)) < 0.2 * size.sum()
+    taken_by_hand(size, np.zeros(len(value), np.uint64))
+
+
+def test_lines_links(spark):
+    """Numbers of links against brute force, in a large group of near copies too."""
+    rnd = random.Random(31)
+    lines = []
+    for n in (30, 90, 700, 1500):
+        base = [rnd.choice("abcdefgh   ") for _ in range(n)]
+        for _ in range(60):
+            x = list(base)
+            for _ in range(rnd.randint(0, n // 25)):
+                x[rnd.randrange(n)] = rnd.choice("XYZ")
+            lines.append("".join(x))
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(lines)] + [(1000, lines[0] + "\n" + lines[70], "en", "s", 0)], SCHEMA).repartition(5)
+    different = sorted(set(lines))
+    links = Counter()
+    for i, a in enumerate(different):
+        for b in different[i + 1 :]:
+            k = min(len(a), len(b)) // 20
+            if abs(len(a) - len(b)) <= k and op1_line_dedup._long_within(*sorted((a, b), key=len), k):
+                links[a] += 1
+                links[b] += 1
+    got = op1_line_dedup.line_classes(docs, None).collect()
+    assert len(got) == len(lines) + 2
+    copies = Counter([*lines, lines[0], lines[70]])
+    for r in got:
+        x = lines[r.doc_id] if r.doc_id < 1000 else (lines[0], lines[70])[r.line_no]
+        assert (r.n_links, r.n_copies) == (links[x], copies[x])
+
+
+def test_long_edits_random():
+    rnd = random.Random(9)
+    a, b = [], []
+    for _ in range(90):
+        x = [rnd.choice("abcdü€") for _ in range(rnd.choice((60, 150, 300, 500, 750)) + rnd.randint(0, 30))]
+        y = list(x)
+        for _ in range(rnd.randint(0, len(x) // 7)):
+            p = rnd.randrange(len(y))
+            y[p : p + rnd.randint(0, 1)] = [rnd.choice("abcd")] * rnd.randint(0, 1)
+        a.append("".join(x))
+        b.append("".join(y))
+    want = [levenshtein(x, y) <= min(len(x), len(y)) // 20 for x, y in zip(a, b)]
+    assert op1_line_dedup.within_edits(a, b, None).tolist() == want and 20 < sum(want) < 80
+
+
 def common_text(r):
     return r[1] or ""
 
@@ -181,6 +252,12 @@ def test_arrow_files(spark, docs, rows, empty):
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert ids == sorted(ids)
     assert op3_arrow_stream.write_shards(empty, common.scratch_path(spark, "t"), seq_len=32) == []
+    big = 2**53 + 1
+    ids = spark.createDataFrame([(big, "a"), (None, "b"), (big + 2, "c")], "doc_id long, text string").coalesce(1)
+    back = op3_arrow_stream.read_documents(spark, op3_arrow_stream.write_shards(ids, common.scratch_path(spark, "t"), seq_len=32, shards=1), 32)
+    assert {r.doc_id for r in back.collect()} == {big, None, big + 2}
+    with pytest.raises(ValueError):
+        op3_arrow_stream.Writer(pa.BufferOutputStream(), 4, False).add(np.array([70000], np.uint32))
     shard = op3_arrow_stream.open_shard(manifest[0]["path"].replace(manifest[0]["path"].rsplit("/", 1)[1], "part-" + manifest[0]["path"].rsplit("/", 1)[1]) + ".arrow", 32, False)
     seq, mask = shard.sequence(0)
     assert len(seq) == 32 and len(mask) == 32 and not seq.flags.owndata

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import itertools
 import posixpath
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where none is set (tests), a temporary one is chosen and set."""
+    """The folder named in spark.checkpoint.dir. Where none is set and all runs in one process (tests), a temporary one
+    is chosen and set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)

@@ -225,9 +225,15 @@ def _stars(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, texts: DataFrame, found: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a, b: ids that are linked, enough to connect all classes."""
     spark = docs.sparkSession
-    w = Window.partitionBy("family").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
     members = found.join(texts.select("id", "doc_id", "_h1", "_h2", "n"), "id")
-    members = common.written(members.withColumn("block", F.floor(F.sum(F.col("n") + 250).over(w) / BLOCK_RUNS)), "members")
+    # places by length from prefix sums over the lengths of a family, of which there are few; texts of one length are
+    # spread over their stretch by hash
+    sizes = members.groupBy("family", "n").agg(F.sum(F.col("n") + 250).alias("_size"))
+    w = Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_from", F.coalesce(F.sum("_size").over(w), F.lit(0)))
+    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+    members = members.join(sizes, ["family", "n"]).withColumn("block", F.floor((F.col("_from") + spread * F.col("_size")) / BLOCK_RUNS))
+    members = common.written(members.drop("_size", "_from"), "members")
     meta = members.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = meta.alias("x"), meta.alias("y")
     meet = (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.hi") >= least * F.col("y.lo"))

@@ -186,9 +186,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Rule
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns with score and predicted."""
+    """docs' columns with score and predicted, which replace columns of these names."""
     stats = statistics()
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), *(c.alias(k) for k, c in stats.items()))
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ("score", "predicted")]
+    rows = docs.select(F.struct(*kept).alias("_doc"), *(c.alias(k) for k, c in stats.items()))
     rows = rows.select("_doc", model.column().alias("_score"))
     return rows.select("_doc.*", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 

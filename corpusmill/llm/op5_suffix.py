@@ -2,22 +2,23 @@
 
 A window is a string of `LENGTH` bytes inside one document. Every byte that a window covers goes if that window also
 starts anywhere else. A suffix array would find this by sorting all suffixes: they are put into buckets by an initial
-q-gram, and a bucket is refined by the identifiers that its members have at later offsets, until it has one member or
-its members agree in as many bytes as are asked for. Here the same refinement runs on a sample of the suffixes, with
-hashes of the content as the buckets' identifiers (their order is not needed, only who shares a bucket):
-
-1. Each window elects the suffix at its least q-gram hash among its first `WINDOW` places, the leftmost of equal ones.
-   Equal windows elect the same place, so windows of different suffixes' buckets never have to be compared. The windows
-   that elect one suffix are a run of neighbours, and all of them hold the suffix's first LENGTH - WINDOW + 1 bytes:
-   that is the initial bucket. Suffixes alone in their bucket are done.
-2. A bucket is refined by the run's whole extent. Runs that are found twice are settled: all their windows repeat.
-3. Only buckets that still hold different runs are refined again, one run of each kind taking part: in steps of
-   `BLOCK` offsets, each by the identifier of the bytes at that offset, and within these by whole windows.
-
-Step 3 gets few rows, as only runs at the ends of a repeated passage are left. What meets in a task is dealt by the
-refined identifiers, so a passage that is in a third of all documents is spread over its offsets.
-
-Identifiers are 64 bits of content within a bucket of 64 bits in steps 1 and 2, and 96 bits in step 3.
+q-gram, and a bucket is refined by sorting its members on the identifiers of the buckets that they have at later
+offsets, until it has one member or its members agree in as many bytes as are asked for. Here:
+
+1. Every place has the bucket of its q-gram (`GRAM` bytes). The bucket of 2 q bytes is named by the pair of a place's
+   bucket and that at q bytes on; that name is used again for the next step, at 2 q bytes on, and so up to the wanted
+   number of bytes (`identifiers`). Names are 64-bit hashes of such pairs instead of ranks: only who shares a bucket
+   matters, not the order of buckets, and documents can be named apart from each other.
+2. Suffixes are sampled: each window elects the suffix at its least q-gram among its first `WINDOW` places, the leftmost
+   of equal ones. Equal windows elect the same place, so windows of different suffixes' buckets never have to be
+   compared. The windows that elect one suffix are a run of neighbours, and all of them hold the suffix's first
+   LENGTH - WINDOW + 1 bytes, whose bucket it is put into. Suffixes alone in their bucket are done.
+3. A bucket is refined by the identifiers at the run's two ends. Runs found twice are settled: all their windows repeat.
+4. Only buckets that still hold different runs are refined again, one run of each kind taking part: its windows are
+   sorted by their own bucket and by that of a later offset, which both cover the window together.
+
+Step 4 gets few rows, as only runs at the ends of a repeated passage are left. What meets in a task is dealt by
+identifiers of `BLOCK` offsets, so a passage that is in a third of all documents is spread over its offsets.
 
 Cases: a null text is empty; texts shorter than LENGTH bytes lose nothing; rows that agree in doc_id and text are
 copies of each other and lose all their windows; a null doc_id is kept; an empty table gives no rows; other columns
@@ -33,13 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from corpusmill.llm import common
 
 LENGTH, WINDOW, GRAM, BLOCK = 400, 200, 8, 8
-#: Bytes that a task samples together, and windows of a partition in step 3, about.
-CHUNK, WINDOWS = 4 << 20, 1_500_000
+#: Bytes that a task samples together, and windows of a partition in step 4, about.
+CHUNK, WINDOWS = 1 << 19, 1_500_000
 
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)  # a chunk with its overlap is shorter
@@ -47,6 +47,34 @@ RUNS = "doc_id long, _x long, p1 int, p2 int, near int, core long, span long, la
 KEY = ["doc_id", "_x"]
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of pairs of names."""
+    x = a * _U(0x9E3779B97F4A7C15)
+    x += b
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(29)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(32)
+    return x
+
+
+def identifiers(data: memoryview, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of these ascending numbers of bytes (GRAM at least), the bucket of the string of so many bytes that
+    begins at each place: two places are in one bucket if their strings are equal."""
+    n, m = len(data), GRAM
+    found = []
+    names = np.ndarray((max(0, n - GRAM + 1),), "<u8", data, 0, (1,)) if n >= GRAM else np.zeros(0, np.uint64)
+    names = _pairs(names, _U(0))
+    for size in sizes:
+        while 2 * m <= size:
+            names = _pairs(names[:-m], names[m:]) if len(names) > m else names[:0]
+            m *= 2
+        later = size - m  # the last step's two strings overlap
+        found.append((_pairs(names[: len(names) - later], names[later:]) if len(names) > later else names[:0]) if later else names)
+    return found
+
+
 def sampled(data: memoryview, sizes: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows in the texts of these sizes that stand one after the other in data: first and last start of the
     windows, and the suffix they elect."""
@@ -118,9 +146,8 @@ def sample(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataF
                     continue
                 starts = np.cumsum(sizes) - sizes
                 row = np.searchsorted(np.cumsum(sizes), p1, side="right")
-                ends = (p2 + length).tolist()
-                core = np.array([xxh3_64_intdigest(own[x : x + length - window + 1]) for x in at.tolist()], np.uint64)
-                span = np.array([xxh3_64_intdigest(own[x:y]) for x, y in zip(p1.tolist(), ends)], np.uint64)
+                short, whole = identifiers(own, (length - window + 1, length))
+                core, span = short[at], _pairs(_pairs(whole[p1], whole[p2]), (p2 - p1).astype(np.uint64))
                 anew = np.flatnonzero(np.r_[True, (core[1:] != core[:-1]) | (span[1:] != span[:-1]) | (row[1:] != row[:-1]) | (p1[1:] != p2[:-1] + 1)])
                 times = np.diff(np.r_[anew, len(p1)])
                 end_of = p2[anew + times - 1]
@@ -163,22 +190,22 @@ def _windows(rows: DataFrame, n: int, length: int) -> DataFrame:
             data, offsets = _bytes(batch.column(2))
             for k, (doc, x, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
                 own = data[int(offsets[k]) : int(offsets[k + 1])]
-                digests, block, pos, mark = [], [], [], []
+                block, places, mark = [], [], []
+                half = (length + 1) // 2
+                (names,) = identifiers(own, (half,))
                 for r in runs:
-                    last, near = r["p2"], r["near"]
-                    digests += [xxh3_128_digest(own[p : p + length]) for p in range(last, r["p1"] - 1, -1)]
-                    away, total = near, near + last - r["p1"]
-                    at = last + near
-                    while away <= total:  # windows of one block of offsets hold the same bytes around the suffix
-                        low = away // BLOCK * BLOCK
-                        many = min(low + BLOCK - 1, total) - away + 1
-                        block += [xxh3_64_intdigest(own[at - low : at - low - BLOCK + 1 + length], seed=low)] * many
-                        away += many
-                    pos.append(np.arange(last, r["p1"] - 1, -1, dtype=np.int32))
-                    mark.append(np.full(len(pos[-1]), r["mark"], np.bool_))
-                both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-                m = len(both)
-                held.append((np.array(block, np.uint64) % _U(n), both[:, 0], (both[:, 1] >> _U(32)).astype(np.uint32), np.full(m, doc or 0, np.int64), np.full(m, doc is None), np.full(m, x, np.int64), np.concatenate(pos), np.concatenate(mark)))
+                    first, last, near = r["p1"], r["p2"], r["near"]
+                    p = np.arange(last, first - 1, -1)
+                    # windows of one block of offsets hold the same bytes around the suffix
+                    low = (near + last - p) // BLOCK * BLOCK
+                    start = last + near - low
+                    block.append(_pairs(_pairs(names[start], names[start - BLOCK + 1 + length - half]), low.astype(np.uint64)))
+                    places.append(p)
+                    mark.append(np.full(len(p), r["mark"], np.bool_))
+                p = np.concatenate(places)
+                lo, hi = names[p], names[p + length - half]  # a window's bucket, and that of its later half
+                m = len(p)
+                held.append((np.concatenate(block) % _U(n), _pairs(lo, hi), (_pairs(hi, lo) >> _U(32)).astype(np.uint32), np.full(m, doc or 0, np.int64), np.full(m, doc is None), np.full(m, x, np.int64), p.astype(np.int32), np.concatenate(mark)))
                 size += m
                 if size > 500_000:
                     yield flush(held)
@@ -220,7 +247,7 @@ def _repeated(blobs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """doc_id, _x, p1, p2: runs of windows that also start elsewhere. _x tells documents of one doc_id apart."""
-    if window + GRAM > length:
+    if window + GRAM > length or length < 2 * (GRAM + BLOCK):
         raise ValueError("the election's window and its gram must fit into a window of bytes")
     spark = docs.sparkSession
     runs = common.written(sample(docs, length, window), "suffixes")

@@ -8,6 +8,8 @@ threshold local to the bucket. A high threshold prunes by coordinates: on the qu
 vector's normalised coordinate must lie in the interval that the threshold allows. Others prune by length: only
 vectors at least as long as bound / |query|. What is left is verified by exact integer products.
 
+Of a bucket, a chunk gets only the vectors that are long enough for one of its queries; the others aren't shuffled.
+
 A group that a task holds is one chunk and one bucket, of bounded sizes; rows are shuffled once for each pair that
 isn't pruned; no side is broadcast.
 
@@ -113,8 +115,10 @@ def _best(hits: list, qids: np.ndarray, ids: np.ndarray, scores: np.ndarray, bou
 
 
 def _search(pairs: DataFrame, queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """pairs: b_no, q_no and need, the least length of a vector that any query of the chunk can still take."""
     left = pairs.join(queries, "q_no").select(*(F.col(c).alias(f"{c}_") for c in ("b_no", "q_no")), "id", "dim", "norm", "bound", "v")
-    right = pairs.join(buckets, "b_no").select("b_no", "q_no", *(F.col(c).alias(c) for c in ("id", "dim", "norm", "v")))
+    right = pairs.join(buckets, "b_no").where(F.col("norm") * (1 + 1e-9) >= F.col("need"))  # the others aren't sent
+    right = right.select("b_no", "q_no", *(F.col(c).alias(c) for c in ("id", "dim", "norm", "v")))
     both = left.groupBy("b_no_", "q_no_").cogroup(right.groupBy("b_no", "q_no"))
     return both.applyInPandas(lambda q, b: search_pair(q, b, k), HITS)
 
@@ -129,15 +133,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     q_meta = queries.groupBy("dim", "q_no").agg(F.max("norm").alias("q_norm"))
     # the bucket of the longest vectors of each dimension gives every query a first bound
     first = b_meta.groupBy("dim").agg(F.max_by("b_no", "b_norm").alias("b_no"))
-    seeds = q_meta.join(first, "dim").select("b_no", "q_no").distinct()
+    seeds = q_meta.join(first, "dim").select("b_no", "q_no", F.lit(float("-inf")).alias("need")).distinct()
     unbound = queries.withColumn("bound", F.lit(None).cast("double"))
     found = common.written(_search(seeds, unbound, buckets, k), "hits")
     bounds = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("bound"))
     bounded = common.written(queries.join(bounds, "id", "left").select(*queries.columns, "bound"), "bounds")
     # pairs of a chunk and a bucket, by their figures alone: a chunk and a bucket are thousands of rows each
-    least = bounded.groupBy("dim", "q_no").agg(F.max("norm").alias("q_norm"), F.min(F.coalesce("bound", F.lit(float("-inf")))).alias("least"))
-    pairs = least.join(b_meta, "dim").where("least <= 0 or q_norm * b_norm * (1 + 1e-9) >= least").select("b_no", "q_no").distinct()
-    rest = pairs.join(seeds, ["b_no", "q_no"], "left_anti")
+    # what a vector's length must be for a query: its bound over its own length; no bound or none above zero asks nothing
+    need = F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.col("bound") / F.col("norm")).when(F.col("bound") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    least = bounded.groupBy("dim", "q_no").agg(F.min(need).alias("need"))
+    pairs = least.join(b_meta, "dim").where("b_norm * (1 + 1e-9) >= need").groupBy("b_no", "q_no").agg(F.min("need").alias("need"))
+    rest = pairs.join(seeds.select("b_no", "q_no"), ["b_no", "q_no"], "left_anti")
     hits = found.union(_search(rest, bounded, buckets, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -4,15 +4,18 @@ A store is a folder with immutable Parquet files (shards) and manifests `manifes
 lists all live shards with rows, bytes and tier. An arrival is written as small shards and committed as the next
 version. Compaction sorts the live shards into tiers by size, cuts each tier into runs of similar sizes whose sum
 stays within the target, merges every run of at least `fan_in` shards into one file, and commits the exchange. A
-commit writes a temporary file and renames it to the next version's name, which fails if that version is there
-already: readers see the old list or the new one, and of two writers one must retry. Files that no manifest names,
-such as those of a task that ran twice, are never read and go with `vacuum`.
+commit checks that its files are there, writes a temporary file and gives it the next version's name without
+overwriting (a hard link on local disks; a rename that fails if the name is taken elsewhere, which is atomic on HDFS;
+stores without such a rename need a lock around `commit`): readers see the old list or the new one, and of two writers
+one must retry. Files that no manifest names, such as those of a task that ran twice, are never read and go with
+`vacuum` once they are old.
 
 Merging needs no shuffle: one task reads a run's files and writes one file, and a run is at most the target. The
 manifest has a row for each file, never for a document.
 
 Cases: all columns and rows of an arrival are kept as they are, nulls, repeated and empty ones too; arrivals may have
-more columns than earlier ones, which then read as null; an empty arrival commits a version without new shards; a
+more columns than earlier ones, which then read as null; a column of another type than before and one named `_shard`,
+which `read` adds, are errors before anything is written; an empty arrival commits a version without new shards; a
 store without shards reads as an empty table.
 """
 
@@ -25,6 +28,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +37,8 @@ from corpusmill.llm import common
 
 #: Runs that one Spark job merges at most.
 RUNS_IN_A_JOB = 64
+#: Names of so many files are broadcast at most, about 100 bytes each; of more they are shuffled.
+BROADCAST_FILES = 100_000
 
 
 class Conflict(RuntimeError):
@@ -104,18 +110,37 @@ class ShardStore:
         return posixpath.join(self.folder, f"manifest-{version:012d}.json")
 
     def commit(self, base: int, shards: list[Shard], schema: StructType) -> int:
-        """Makes `shards` version base + 1, or raises Conflict."""
+        """Makes `shards` version base + 1, or raises Conflict; a new shard whose file isn't there is an error."""
+        old = {s.path for s in self.manifest(base)[0]} if base else set()
+        if gone := [s.path for s in shards if s.path not in old and not self.fs.exists(self._path(s.path))]:
+            raise RuntimeError(f"shards to commit are gone: {gone[:3]}")
         final, temp = self._path(self._manifest(base + 1)), self._path(posixpath.join(self.folder, f".{uuid.uuid4().hex}.tmp"))
         out = self.fs.create(temp, False)
         try:
             out.write(bytearray(json.dumps({"version": base + 1, "schema": json.loads(schema.json()), "shards": [asdict(s) for s in shards]}).encode()))
         finally:
             out.close()
-        if self.fs.exists(final) or not self.fs.rename(temp, final):
+        try:
+            self._name(temp, final)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise Conflict(f"version {base + 1} exists") from None
+        finally:
             self.fs.delete(temp, False)
-            raise Conflict(f"version {base + 1} exists")
         return base + 1
 
+    def _name(self, temp, final) -> None:
+        """Gives a complete file its final name, or fails if that is taken."""
+        jvm = self.spark.sparkContext._jvm
+        if self.fs.getScheme() == "file":
+            paths = (jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (final, temp))
+            jvm.java.nio.file.Files.createLink(*paths)
+            return
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context.rename(temp, final, options)
+
     def _files(self, folder: str, schema: StructType) -> list[Shard]:
         """The files of one write, in order of their tasks."""
         sizes = {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")}
@@ -128,6 +153,9 @@ class ShardStore:
         """Writes an arrival as small shards (of max_records rows at most, if given) and commits it."""
         base = self.version()
         shards, schema = self.manifest(base)
+        before = {f.name.lower(): f.dataType for f in schema.fields} if schema else {}
+        if wrong := [f.name for f in arrival.schema.fields if f.name.lower() == "_shard" or before.get(f.name.lower(), f.dataType) != f.dataType]:
+            raise ValueError(f"columns of a reserved name or of another type than before: {wrong}")
         folder = posixpath.join(self.folder, f"data-{uuid.uuid4().hex}")
         arrival.write.option("maxRecordsPerFile", max_records).parquet(folder)
         if schema is not None:
@@ -201,5 +229,8 @@ def op9_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, _ = store.manifest(version)
     rows = [(posixpath.basename(s.path), i, s.tier) for i, s in enumerate(shards)]  # one row a file
     names = spark.createDataFrame(rows, "_shard string, shard int, tier int")
-    found = store.read(version).join(names, "_shard")
-    return found.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "n_chars", "shard", "tier", F.lit(version).alias("version"))
+    if len(rows) <= BROADCAST_FILES:
+        names = F.broadcast(names)
+    # the texts stay where they are read: only their digests meet the files' names
+    found = store.read(version).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "n_chars", "_shard").join(names, "_shard")
+    return found.select("doc_id", "text_md5", "n_chars", "shard", "tier", F.lit(version).alias("version"))

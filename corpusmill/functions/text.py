@@ -80,10 +80,11 @@ def ends_no_sentence(before: Column, period: Column, after: Column) -> Column:
 
 
 def speech_kind(text: Column) -> Column:
-    """testimony, question, answered or none, by the first form that matches and isn't excluded."""
+    """testimony, question, answered or none, by the first form that matches; exclusions are looked for in the
+    lower-case text and hold for testimonies only."""
     excluded = F.lit(False)
     for p in SPEECH_EXCLUSIONS:
-        excluded = excluded | text.rlike(p)
+        excluded = excluded | F.lower(text).rlike(p)
     return (
         F.when(F.lower(text).rlike(TESTIMONY) & ~excluded, "testimony")
         .when(text.rlike(QUESTION_ANSWER), "question")
@@ -97,6 +98,39 @@ def speaker(text: Column) -> Column:
     return F.when(speech_kind(text) == "testimony", F.regexp_extract(F.lower(text), TESTIMONY, 1)).otherwise("")
 
 
+def speech_parts(text: Column, offset: Column | None = None) -> Column:
+    """What is said and by whom, as (part, begin, end): prefix, speaker, descriptor and testimony, or question and
+    answer; parts that are empty or not there are left out. offset: where the text begins in its document."""
+    base = F.lit(0) if offset is None else offset
+    kind = speech_kind(text)
+    part = lambda name, begin, size: F.struct(F.lit(name).alias("part"), (base + begin).cast("int").alias("begin"), (base + begin + size).cast("int").alias("end"))
+    group = lambda source, pattern, k: F.regexp_extract(source, pattern, k)
+    size = lambda source, pattern, k: F.length(group(source, pattern, k))
+    low = F.lower(text)
+    named, told = size(low, TESTIMONY, 1), size(low, TESTIMONY, 5)
+    testimony = (
+        part("prefix", F.lit(0), size(low, TESTIMONY, 2)),
+        part("speaker", F.lit(0), named),
+        part("descriptor", named, size(low, TESTIMONY, 4)),
+        part("testimony", size(low, TESTIMONY, 0) - told, told),
+    )
+
+    def asked(pattern: str, question: int, answer: int) -> tuple[Column, ...]:
+        first = F.instr(text, group(text, pattern, 0)) - 1
+        before = F.lit(0)
+        for k in range(1, question):
+            before = before + size(text, pattern, k)
+        return part("question", first + before, size(text, pattern, question)), part("answer", first + size(text, pattern, 0) - size(text, pattern, answer), size(text, pattern, answer))
+
+    found = F.when(kind == "testimony", F.array(*testimony)).when(kind == "question", F.array(*asked(QUESTION_ANSWER, 2, 4))).when(kind == "answered", F.array(*asked(ANSWERED, 1, 3)))
+    return F.filter(found, lambda x: x["end"] > x["begin"])
+
+
+def verbatim(text: Column, line_end: Column | None = None) -> Column:
+    """The text as it stands, with a line end where line_end holds."""
+    return text if line_end is None else F.concat(text, F.when(line_end, "\n").otherwise(""))
+
+
 def readable_size(n: Column) -> Column:
     """A number of bytes in the largest of B, KB, MB, GB, TB that leaves at least one, in steps of 1024; null for null."""
     out = F.format_string("%.2f TB", n / 1024.0**4)

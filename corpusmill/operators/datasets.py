@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import posclass
@@ -23,10 +23,21 @@ def frequencies(tokens: DataFrame, lex: DataFrame, split: str | None = None, sam
     return with_idx(counts, lex).select("idx", *(["split"] if split else []), "n")
 
 
+#: Columns of a table at most; a dense table has a cell for each term and column.
+MAX_COLUMNS = 10_000
+
+
+def column_values(rows: DataFrame, name: str) -> list[str]:
+    """The distinct values of a column in byte order, which become a table's columns; too many are an error."""
+    found = [r[0] for r in rows.where(F.col(name).isNotNull()).select(name).distinct().limit(MAX_COLUMNS + 1).collect()]
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"{name} has more than {MAX_COLUMNS} values")
+    return sorted(found, key=lambda x: x.encode() if isinstance(x, str) else x)
+
+
 def dense(long: DataFrame, lex: DataFrame, columns: DataFrame, name: str = "split") -> DataFrame:
-    """A row for each lexicon term and column value, 0 where nothing was counted. columns: the few values of `name`."""
-    values = columns.select(name).distinct().agg(F.collect_set(name).alias("_all"))  # a matrix's columns
-    grid = lex.select("idx").join(F.broadcast(values)).select("idx", F.explode("_all").alias(name))
+    """A row for each lexicon term and column value, 0 where nothing was counted. columns: rows with the values of `name`."""
+    grid = lex.select("idx", F.explode(F.array(*map(F.lit, column_values(columns, name)))).alias(name))
     return grid.join(long, ["idx", name], "left").select("idx", name, F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -43,18 +54,34 @@ def pos_counts(tokens: DataFrame, lex: DataFrame, tag: str = "payload", sample:
     return with_idx(counts, lex).select("idx", "pos_class", "n")
 
 
+#: The lcm of 1..WHOLE, and sums of it, fit into 64 bits.
+WHOLE = 22
+
+
+def _by_distance(pairs: DataFrame, away: Column, before: int, after: int) -> DataFrame:
+    """Cells of wide windows: pairs are counted for each distance, and a cell's sum is taken over its distances in
+    order, so it doesn't depend on the order of rows. There is no s."""
+    both = F.array(
+        F.when(away <= after, F.struct(F.col("a").alias("i"), F.col("idx").alias("j"))),
+        F.when(away <= before, F.struct(F.col("idx").alias("i"), F.col("a").alias("j"))),
+    )
+    each = pairs.select(away.alias("d"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("c")).groupBy("c.i", "c.j", "d").agg(F.count(F.lit(1)).alias("n"))
+    cells = each.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("_x"))  # a window's distances
+    x = F.aggregate("_x", F.lit(0.0), lambda t, e: t + e["n"] / e["d"])
+    return cells.select("i", "j", F.lit(None).cast("long").alias("s"), x.alias("x"))
+
+
 def cooccurrence(tokens: DataFrame, lex: DataFrame, before: int = 10, after: int = 10, sample: DataFrame | None = None, stacked: bool = False) -> DataFrame:
     """i, j, s, x: for each place p that holds term i and each place q != p of its document that holds j, from
     p - before to p + after, 1 / |p - q| is added to x. s is x times lcm(1..width), so sums are exact.
 
     Tokens of a document meet by one window over (document, position); pairs are summed under the unordered pair of
     terms, both directions at once, so there is one shuffle of partial sums. Terms that share a position (stacked)
-    count as the greatest of them.
+    count as the greatest of them. In windows wider than WHOLE, s is null and x is a sum in a fixed order.
     """
     width = max(before, after)
-    if width > 22:
-        raise ValueError("weights of windows beyond 22 don't fit into 64 bits")
-    scale = math.lcm(*range(1, width + 1)) if width else 1
+    whole = width <= WHOLE
+    scale = math.lcm(*range(1, width + 1)) if width and whole else 1
     rows = with_idx(restrict(tokens, sample).select("doc_num", "pos", "term"), lex)
     if stacked:
         rows = rows.groupBy("doc_num", "pos").agg(F.max_by("idx", "term").alias("idx"))
@@ -65,6 +92,8 @@ def cooccurrence(tokens: DataFrame, lex: DataFrame, before: int = 10, after: int
     rows = rows.select(F.col("pos").alias("p"), F.col("idx").alias("a"), following.alias("_next"))
     pairs = rows.select("p", "a", F.inline("_next")).where(F.col("pos") - F.col("p") <= width)
     away = F.col("pos") - F.col("p")
+    if not whole:
+        return _by_distance(pairs, away, before, after)
     weight = F.element_at(F.array(*(F.lit(scale // d) for d in range(1, width + 1))), away)
     onward = weight if after == width else F.when(away <= after, weight).otherwise(0)
     back = weight if before == width else F.when(away <= before, weight).otherwise(0)

@@ -21,6 +21,21 @@ def ranked(rows: DataFrame, count: str = "tf", term: str = "term", name: str = "
     return placed.select((F.col("_before") + F.col("_own")).cast("long").alias(name), *rows.columns)
 
 
+def range_ranked(rows: DataFrame, by: list, name: str) -> DataFrame:
+    """Adds the place of each row in the order `by`, from 0, whatever the rows have in common: ranges of the order are
+    sorted each by itself and stored, and what stands before a range is a sum over the ranges."""
+    from corpusmill.sources.scratch import stored
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    placed = stored(placed.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row a range
+    low = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(sizes), "_part").select(*rows.columns, (F.col("_before") + low).cast("long").alias(name))
+
+
 def row_numbers(rows: DataFrame, name: str) -> DataFrame:
     """Adds a number from 0 to n - 1, in no given order."""
     marked = rows.withColumn("_id", F.monotonically_increasing_id())

@@ -90,7 +90,7 @@ def doc_map(docs: DataFrame, field: str, doc: str = "doc_id") -> DataFrame:
 def dictionary(docs: DataFrame, field: str) -> DataFrame:
     """value, key: the distinct values of a field in byte order, numbered from 0."""
     _checked(docs, field)
-    from corpusmill.operators.ranking import ranked
+    from corpusmill.operators.ranking import range_ranked
 
-    values = docs.where(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct().withColumn("_one", F.lit(1))
-    return ranked(values, "_one", "value", "key").select("value", "key")
+    values = docs.where(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct()
+    return range_ranked(values, ["value"], "key")

@@ -16,10 +16,19 @@ from corpusmill.sources.files import spread
 
 class Corpus:
     """docs: a row for each document; tokens: an index's tokens (doc_num, pos, term), or None to take the words of the
-    text. What is asked for is lazy; the lexicon is kept, as all datasets join it. A changed setting is a new corpus."""
-
-    def __init__(self, docs: DataFrame, tokens: DataFrame | None = None, settings: Settings = Settings(), text_col: str = "text", doc: str = "doc_id"):
-        self.docs, self.settings, self.doc = docs, settings, doc
+    text. Of an index with several token fields, the settings' field_txt is taken, which must be there; terms may share
+    a position. What is asked for is lazy; the lexicon is kept, as all datasets join it. A changed setting is a new
+    corpus."""
+
+    def __init__(self, docs: DataFrame, tokens: DataFrame | None = None, settings: Settings = Settings(), text_col: str = "text", doc: str | None = None):
+        doc = doc or settings.doc_id
+        self.docs, self.settings, self.doc, self.indexed = docs, settings, doc, tokens is not None
+        if tokens is not None and "field" in tokens.columns:
+            fields = sorted(r["field"] for r in tokens.select("field").distinct().limit(1000).collect())  # an index has few
+            if settings.field_txt in fields:
+                tokens = tokens.where(F.col("field") == settings.field_txt)
+            elif len(fields) > 1:
+                raise ValueError(f"no field {settings.field_txt!r}; there are {fields}")
         split = settings.field_split if settings.field_split in docs.columns else None
         self.split = split
         if tokens is None:
@@ -62,11 +71,11 @@ class Corpus:
 
     def cooc(self, sample: DataFrame | None = None, before: int | None = None, after: int | None = None) -> DataFrame:
         s = self.settings
-        return datasets.cooccurrence(self.tokens, self.lexicon(), s.cooc_w_pre if before is None else before, s.cooc_w_pos if after is None else after, sample)
+        return datasets.cooccurrence(self.tokens, self.lexicon(), s.cooc_w_pre if before is None else before, s.cooc_w_pos if after is None else after, sample, stacked=self.indexed)
 
     def splits(self) -> list[str]:
         """The split's values in order: the columns of the frequency table."""
-        return [r["value"] for r in samples.dictionary(self.docs, self.split).orderBy("key").collect()] if self.split else []
+        return datasets.column_values(self.docs, self.split) if self.split else []
 
     def dump(self, folder: str | None = None, sample: DataFrame | None = None) -> None:
         """Writes lexicon, frequencies, part-of-speech counts (if tokens have a payload) and co-occurrences."""

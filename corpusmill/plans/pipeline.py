@@ -39,7 +39,7 @@ class Pipeline:
         from corpusmill.functions.text import base_name
 
         rows = files.select(base_name(files["path"]).alias("name"), "content")
-        docs, annotations, self.rejects = markup.split_tables(markup.read_markup(rows, "name", "content", self.mapping, kind, self.xpath))
+        docs, annotations, self.rejects = markup.split_tables(markup.read_markup(rows, "name", "content", self.mapping, kind, self.xpath), keep=True)
         if self.settings.on_error != "continue" and (bad := self.rejects.first()):
             raise ValueError(f"{bad['doc_id']}: {bad['error']}")
         return docs, annotations

@@ -6,16 +6,17 @@ Divergence: the glob selects files and doesn't keep a recursion from entering fo
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False, suffix: str | None = None) -> DataFrame:
-    """path, name, length, modified of a folder's files; suffix: only names that end so, in any case."""
+    """path, name, length, modified of a folder's files, by path; suffix: only names that end so, in any case."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
     rows = reader.load(folder).select("path", F.substring_index("path", "/", -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
-    return rows.where(F.lower("name").endswith(suffix.lower())) if suffix else rows
+    return (rows.where(F.lower("name").endswith(suffix.lower())) if suffix else rows).orderBy("path")
 
 
 #: Inputs of so many bytes at most are dealt anew.
@@ -63,6 +64,24 @@ def delta_path(path: str, i: int, pattern: str = "../%i/%c.%e") -> str:
     return posixpath.normpath(posixpath.join(folder, pattern.replace("%i", str(i)).replace("%c", stem).replace("%e", ext)))
 
 
+def read_deltas(spark: SparkSession, base: DataFrame, folder: str, pattern: str = "../%i/%c.%e", path: str = "path", content: str = "content") -> DataFrame:
+    """delta_no, path (of the file it belongs to) and content of the delta files that the pattern names for the files in
+    `folder`. The folders it can name are listed once, whatever the number of files."""
+    top = posixpath.normpath(posixpath.join(folder, pattern[: pattern.index("%")].rpartition("/")[0] or "."))
+    if "://" in folder and "://" not in top:
+        top = top.replace(":/", "://", 1)
+    names = {"%i": r"(?<i>\d+)", "%c": r"(?<c>[^/]*)", "%e": r"(?<e>[^./]*)"}
+    steps = [s for s in re.split(r"(%[ice])", pattern[len(pattern[: pattern.index("%")].rpartition("/")[0]) :].lstrip("/"))]
+    tail = "/" + "".join(names.get(s, re.escape(s)) for s in steps) + "$"
+    order = [s[1] for s in steps if s in names]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top).select(F.col("path").alias("_p"), F.col("content").alias(content))
+    part = lambda k: F.regexp_extract("_p", tail, order.index(k) + 1) if k in order else F.lit("")
+    found = files.where(F.col("_p").rlike(tail)).select(part("i").cast("int").alias("delta_no"), part("c").alias("_c"), part("e").alias("_e"), content)
+    name = F.substring_index(path, "/", -1)
+    own = base.select(path, F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1).alias("_c"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("_e"))
+    return own.join(found, ["_c", "_e"] if "e" in order else ["_c"]).select("delta_no", path, content)
+
+
 def fields(df: DataFrame) -> list[str]:
     return df.columns
 

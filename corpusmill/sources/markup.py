@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ANNOTATIONS = "doc_id string, ann_id long, type string, begin int, end int, id string, notes string, attrs map<string,string>"
-PARSED = f"doc_id string, index int, xpath string, text string, error string, annotations array<struct<{ANNOTATIONS.replace('doc_id string, ', '').replace(' string', ':string').replace(' long', ':bigint').replace(' int', ':int').replace('attrs map', 'attrs:map')}>>"
+PARSED = f"row long, doc_id string, index int, xpath string, text string, error string, annotations array<struct<{ANNOTATIONS.replace('doc_id string, ', '').replace(' string', ':string').replace(' long', ':bigint').replace(' int', ':int').replace('attrs map', 'attrs:map')}>>"
 
 
 def never(before: str, after: str) -> bool:
@@ -173,25 +173,31 @@ def elements(source: bytes | str, xpath: str | None) -> list[bytes]:
     """The elements that an XPath (as ElementTree knows it) selects, each serialized; the whole document without one."""
     if not xpath:
         return [source if isinstance(source, bytes) else source.encode()]
-    tree = ElementTree.fromstring(source)
-    return [ElementTree.tostring(e) for e in tree.iterfind("." + xpath if xpath.startswith("/") else xpath)]
+    above = ElementTree.Element("above")  # absolute paths begin at the document, not at its root element
+    above.append(ElementTree.fromstring(source))
+    found = []
+    for e in above.iterfind("." + xpath if xpath.startswith("/") else xpath):
+        alone = ElementTree.Element(e.tag, e.attrib)
+        alone.text, alone[:] = e.text, e[:]  # without the text that follows the element
+        found.append(ElementTree.tostring(alone))
+    return found
 
 
 def read_markup(rows: DataFrame, key: str, content: str, mapping: Mapping, kind: str = "html", xpath: str | None = None) -> DataFrame:
-    """A row for each document: doc_id, index, xpath, text, error, annotations. rows: a key and the markup, as text or
-    bytes. With an XPath each element is a document, named after the key, the path and its number."""
-    from pyspark import TaskContext  # noqa: F401  (workers only)
-
+    """A row for each document: row (of the input), doc_id, index (from 1 within the row), xpath, text, error,
+    annotations. rows: a key and the markup, as text or bytes. With an XPath each element is a document, named after the
+    key, the path and its number."""
+    ElementTree.Element("any").find(xpath.lstrip("/") if xpath else "any")  # a path that can't be read is an error here
     tag = re.sub("/+", "-", xpath) if xpath else ""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: list[dict] = []
-            for name, source in zip(frame["k"], frame["c"]):
+            for row, name, source in zip(frame["r"], frame["k"], frame["c"]):
                 try:
                     parts = [source or ""] if kind == "html" else elements(source or "", xpath)
                 except ElementTree.ParseError as e:
-                    out.append({"doc_id": name, "index": None, "xpath": xpath, "text": None, "error": str(e), "annotations": []})
+                    out.append({"row": row, "doc_id": name, "index": None, "xpath": xpath, "text": None, "error": str(e), "annotations": []})
                     continue
                 for n, part in enumerate(parts, 1):
                     doc = f"{name}{tag}-{n}" if xpath else name
@@ -201,24 +207,32 @@ def read_markup(rows: DataFrame, key: str, content: str, mapping: Mapping, kind:
                             text, annotations = parse_html(part, mapping, doc)
                         else:
                             text, annotations = parse_xml(part, mapping, doc)
-                        out.append({"doc_id": doc, "index": n - 1, "xpath": xpath, "text": text, "error": None, "annotations": annotations})
+                        out.append({"row": row, "doc_id": doc, "index": n, "xpath": xpath, "text": text, "error": None, "annotations": annotations})
                     except expat.ExpatError as e:
-                        out.append({"doc_id": doc, "index": n - 1, "xpath": xpath, "text": None, "error": str(e), "annotations": []})
+                        out.append({"row": row, "doc_id": doc, "index": n, "xpath": xpath, "text": None, "error": str(e), "annotations": []})
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "index", "xpath", "text", "error", "annotations"]).astype({"index": "Int32"})
+                yield pd.DataFrame(out, columns=["row", "doc_id", "index", "xpath", "text", "error", "annotations"]).astype({"index": "Int32"})
 
-    return rows.select(F.col(key).cast("string").alias("k"), F.col(content).alias("c")).mapInPandas(run, PARSED)
+    return rows.select(F.monotonically_increasing_id().alias("r"), F.col(key).cast("string").alias("k"), F.col(content).alias("c")).mapInPandas(run, PARSED)
 
 
-def split_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs, annotations and rejects of read_markup's rows. Documents of one id are numbered from the second on."""
+def split_tables(parsed: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs, annotations and rejects of read_markup's rows. Documents of one id are numbered from the second on; a number
+    that gives another document's id is followed by a hash. keep: the parse is stored, so that the three tables, if all
+    are wanted, share it."""
     from corpusmill.operators.spans import path_column
+    from corpusmill.sources.scratch import stored
 
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("index", F.xxhash64("text"))) - 1
+    if keep:
+        parsed = stored(parsed, "parsed")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("index", F.xxhash64("text"), "row")) - 1
     good = parsed.where("error is null").withColumn("_n", again)
-    good = good.withColumn("doc_id", F.when(F.col("_n") > 0, F.concat_ws("-", "doc_id", "_n")).otherwise(F.col("doc_id")))
-    last = F.lead("index").over(Window.partitionBy(F.regexp_replace("doc_id", r"-\d+$", "")).orderBy("index")).isNull()
-    docs = good.select("doc_id", "text", F.lit(None).cast("string").alias("collection"), F.col("doc_id").alias("uri"), "xpath", "index", last.alias("is_last"), F.lit(False).alias("skip"), F.lit("en").alias("lang"))
+    last = F.lead("index").over(Window.partitionBy("row").orderBy("index")).isNull()
+    good = good.withColumn("is_last", last).withColumn("_id", F.when(F.col("_n") > 0, F.concat_ws("-", "doc_id", "_n")).otherwise(F.col("doc_id")))
+    taken = good.where("_n = 0").select(F.col("doc_id").alias("_taken"))
+    good = good.join(taken, (F.col("_id") == F.col("_taken")) & (F.col("_n") > 0), "left")
+    good = good.withColumn("doc_id", F.when(F.col("_taken").isNotNull(), F.concat_ws("-", "_id", F.hex(F.xxhash64("doc_id", "_n")))).otherwise(F.col("_id")))
+    docs = good.select("doc_id", "text", F.lit(None).cast("string").alias("collection"), F.col("doc_id").alias("uri"), "xpath", "index", "is_last", F.lit(False).alias("skip"), F.lit("en").alias("lang"))
     rows = good.select("doc_id", F.inline("annotations"))
     annotations = rows.select("doc_id", "ann_id", "type", path_column(F.col("type")).alias("type_path"), "begin", "end", "id", F.when(F.col("type").isin("Segment", "Paragraph"), 1).alias("level"), "notes", "attrs")
     return docs, annotations, parsed.where("error is not null").select("doc_id", "error")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRIPLET = np.dtype([("i", "<i4"), ("j", "<i4"), ("x", "<f8")])
@@ -31,10 +31,12 @@ def dsv_lines(rows: DataFrame, row_id: str, columns: Sequence[str] | None = None
     return head.union(lines)
 
 
-def write_dsv(rows: DataFrame, path: str, row_id: str, mode: str = "overwrite", parts: int | None = 1, **options) -> None:
-    """Writes the lines in order: as one file, or as so many that follow one another by name."""
-    lines = dsv_lines(rows, row_id, **options).orderBy("place")
-    (lines.coalesce(1) if parts == 1 else lines).select("line").write.mode(mode).text(path)
+def write_dsv(rows: DataFrame, path: str, row_id: str, mode: str = "overwrite", parts: int | None = None, **options) -> None:
+    """Writes the lines in order, as files that follow one another by name, one a range of rows. parts: that many at
+    most; a single file is written by one task."""
+    lines = dsv_lines(rows, row_id, **options)
+    lines = lines.orderBy("place") if parts is None else lines.repartitionByRange(parts, "place").sortWithinPartitions("place")
+    lines.select("line").write.mode(mode).text(path)
 
 
 def wide_table(long: DataFrame, row: str, column: str, value: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -49,7 +51,7 @@ def write_lexicon(lex: DataFrame, path: str, **options) -> None:
 
 def write_matrix(matrix: DataFrame, folder: str, parts: int | None = None) -> None:
     """Sixteen bytes a cell, sorted by (i, j): range-partitioned, each task writes one file, names in the order of
-    ranges. Tasks write through the session's Hadoop file system as binary rows of Parquet are: one blob a task."""
+    ranges. Tasks write through the session's Hadoop file system, as binary rows of Parquet: a blob a batch of cells."""
     spark = matrix.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -104,7 +106,9 @@ class IndexWriter:
             self.compact(segments.sparkSession, self.parts)
 
     def compact(self, spark: SparkSession, parts: int) -> None:
-        """Rewrites the index into so many files a field; the new files take the old ones' place once they are complete."""
+        """Rewrites the index into so many files a field. The new files are complete before the old ones are put aside,
+        and these go only when the new ones are in place; `recover` mends what a stop in between has left."""
+        self.recover(spark)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name in ("segments", "tokens"):
             old, new = (posixpath.join(self.folder, x) for x in (name, f".{name}-new"))
@@ -112,8 +116,23 @@ class IndexWriter:
             out = rows.repartition(parts, "doc_num") if name == "tokens" else rows.coalesce(parts)
             (out.write.mode("overwrite").partitionBy("field") if name == "tokens" else out.write.mode("overwrite")).parquet(new)
             fs = hadoop(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(hadoop(old), True)
-            fs.rename(hadoop(new), hadoop(old))
+            aside = posixpath.join(self.folder, f".{name}-old")
+            if not (fs.rename(hadoop(old), hadoop(aside)) and fs.rename(hadoop(new), hadoop(old))):
+                raise RuntimeError(f"{old} couldn't be exchanged")
+            fs.delete(hadoop(aside), True)
+
+    def recover(self, spark: SparkSession) -> None:
+        """Puts back what compact() had put aside when it was stopped, or deletes it if the new files are in place."""
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for name in ("segments", "tokens"):
+            old, new, aside = (hadoop(posixpath.join(self.folder, x)) for x in (name, f".{name}-new", f".{name}-old"))
+            fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if fs.exists(aside):
+                if fs.exists(old):
+                    fs.delete(aside, True)
+                else:
+                    fs.rename(aside, old)
+            fs.delete(new, True)
 
 
 def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -132,6 +151,73 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return tuple(spark.read.parquet(posixpath.join(folder, x)) for x in ("docs", "annotations"))
 
 
+def file_names(rows: DataFrame, name: str, pattern: str = "%c.%e", ext: str = "data", taken: DataFrame | None = None) -> DataFrame:
+    """Adds `file`: the pattern with the row's name (%c) and the extension (%e). If `taken` (a table with file) is given,
+    files aren't overwritten: names that recur or are taken get -1, -2, ... before the extension."""
+    file = F.replace(F.replace(F.lit(pattern), F.lit("%c"), F.coalesce(F.col(name).cast("string"), F.lit("null"))), F.lit("%e"), F.lit(ext.lstrip(".")))
+    rows = rows.withColumn("file", file)
+    if taken is None:
+        return rows
+    stem = lambda c: F.regexp_extract(c, r"^(.*?)(-\d+)?(\.[^.]*)?$", 1)
+    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(F.xxhash64(*rows.columns))) - 1)
+    last = F.coalesce(F.regexp_extract("file", r"-(\d+)(\.[^.]*)?$", 1).try_cast("int"), F.lit(0))
+    used = taken.select(F.concat(stem(F.col("file")), F.regexp_extract("file", r"(\.[^.]*)?$", 1)).alias("file"), last.alias("_k")).groupBy("file").agg((F.max("_k") + 1).alias("_k"))
+    own = own.join(used, "file", "left").withColumn("_n", F.col("_n") + F.coalesce("_k", F.lit(0)))
+    fresh = F.concat(F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), F.col("_n").cast("string"), F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 2))
+    return own.withColumn("file", F.when(F.col("_n") > 0, fresh).otherwise(F.col("file"))).select(*rows.columns)
+
+
+def write_files(rows: DataFrame, folder: str, name: str, content: str, pattern: str = "%c.%e", ext: str = "data", overwrite: bool = True) -> DataFrame:
+    """A file for each row, written by the tasks through the folder's own file system; returns file and length of each.
+    A file appears under its name once it is complete. Rows of one name: the last written stays, or, without
+    overwriting, each has its number."""
+    from corpusmill.sources.files import list_files
+
+    spark = rows.sparkSession
+    taken = None
+    if not overwrite:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        taken = list_files(spark, folder).select(F.col("name").alias("file")) if there else spark.createDataFrame([], "file string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+        from urllib.parse import urlparse
+
+        import pyarrow.fs as pafs
+
+        local = urlparse(folder).scheme in ("", "file")
+        fs, base = (pafs.LocalFileSystem(), urlparse(folder).path) if local else pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes = []
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = data or b""
+                temp = posixpath.join(base, f".{uuid.uuid4().hex}")
+                with fs.open_output_stream(temp) as out:
+                    out.write(data)
+                fs.move(temp, posixpath.join(base, file))
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["file", "length"])
+
+    named = file_names(rows, name, pattern, ext, taken).select("file", F.col(content).cast("string").cast("binary").alias("data"))
+    from corpusmill.sources.scratch import stored
+
+    return stored(named.mapInArrow(run, "file string, length long"), "files")  # each file is written once
+
+
+def clear_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> int:
+    """Deletes the files of a folder that a glob names; returns how many."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, glob)) or [] if s.isFile()]
+    if recursive:
+        below = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+        return sum(fs.delete(p, False) for p in found) + sum(clear_files(spark, p.toString(), glob, True) for p in below)
+    return sum(fs.delete(p, False) for p in found)
+
+
 def write_xml(rows: DataFrame, folder: str, row_tag: str = "document", root_tag: str = "documents") -> None:
     rows.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(folder)
 

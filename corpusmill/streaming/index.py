@@ -19,11 +19,20 @@ def append_tokens(spark: SparkSession, source: str, schema: str, index: str, doc
     return out.option("checkpointLocation", posixpath.join(index, "progress")).trigger(availableNow=True).outputMode("append").start()
 
 
-def running_counts(spark: SparkSession, source: str, schema: str, name: str, text_col: str = "text"):
-    """Term frequencies over all that has arrived, in a table in memory."""
+def running_counts(spark: SparkSession, source: str, schema: str, target: str, text_col: str = "text"):
+    """Term frequencies over all that has arrived: each batch's counts are a part of the table `target`, written over if
+    the batch runs again; read_counts adds the parts up. No state grows with the vocabulary."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts = word_tokens(batch.withColumn("_d", F.lit(0)), "_d", text_col).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+        counts.write.mode("overwrite").parquet(posixpath.join(target, f"batch={batch_id}"))
+
     new = spark.readStream.schema(schema).parquet(source)
-    counts = word_tokens(new.withColumn("_d", F.lit(0)), "_d", text_col).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    return new.writeStream.foreachBatch(add).option("checkpointLocation", target.rstrip("/") + "-progress").trigger(availableNow=True).start()
+
+
+def read_counts(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).groupBy("term").agg(F.sum("tf").alias("tf"))
 
 
 def read_tokens(spark: SparkSession, index: str) -> DataFrame:

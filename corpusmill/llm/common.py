@@ -47,11 +47,15 @@ def discard(df: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done; it does when the driver's JVM collects its garbage."""
+    """Lets Spark delete the shuffle files of jobs that are done. It does when the driver's JVM has collected its garbage,
+    and in the background, so this waits a moment."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def hadoop_path(spark: SparkSession, path: str):

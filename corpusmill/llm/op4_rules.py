@@ -129,7 +129,7 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> t
     """Weights of a logistic regression under an l1 penalty, by accelerated proximal steps; the intercept is free."""
     n, k = a.shape
     a1 = np.c_[np.ones(n), a]
-    rate = 4 * n / (np.linalg.norm(a1, 2) ** 2)
+    rate = 4 * n / np.linalg.eigvalsh(a1.T @ a1)[-1]  # the largest singular value, squared
     w = v = np.zeros(k + 1)
     t = 1.0
     for _ in range(rounds):

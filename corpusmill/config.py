@@ -40,17 +40,37 @@ class Settings:
     threads: int = os.cpu_count() or 1
     quiet: bool = False
     dump_conf: bool = False
+    others: tuple[tuple[str, str], ...] = ()
+
+    def get_list(self, key: str, factory=str) -> list:
+        """A setting of parts that these settings don't name: its elements, parted by commas, each made by the factory."""
+        return [factory(x.strip()) for x in dict(self.others).get(key, "").split(",") if x.strip()]
+
+    def get_map(self, key: str, factory=str) -> dict:
+        """As get_list, of elements `name:value`."""
+        return {k.strip(): factory(v.strip()) for k, _, v in (x.partition(":") for x in self.get_list(key))}
+
+    def get_other(self, key: str, factory=str, default=None):
+        value = dict(self.others).get(key)
+        return default if value is None else factory(value)
 
     def folder(self, name: str) -> str:
         """The absolute path of index_dir, input_dir, output_dir or tables_dir."""
         return os.path.join(os.path.abspath(self.home_dir), self.data_dir, getattr(self, name))
 
     def with_values(self, values: dict[str, str]) -> Settings:
+        """Settings with these values. A key with a dot, `part.parameter`, belongs to a reader, annotator or consumer and is
+        kept for it; any other key that isn't a setting is an error."""
         kinds = {f.name: f.type for f in fields(self)}
-        unknown = set(values) - set(kinds)
+        unknown = {k for k in values if k not in kinds and "." not in k}
         if unknown:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
-        return replace(self, **{k: _decoded(v, kinds[k]) for k, v in values.items()})
+        others = {**dict(self.others), **{k: v for k, v in values.items() if k not in kinds}}
+        return replace(self, **{k: _decoded(v, kinds[k]) for k, v in values.items() if k in kinds}, others=tuple(sorted(others.items())))
+
+    def parameters(self, part: str) -> dict[str, str]:
+        """The parameters `part.parameter` of a part."""
+        return {k[len(part) + 1 :]: v for k, v in self.others if k.startswith(part + ".")}
 
 
 def _decoded(value, kind: str):

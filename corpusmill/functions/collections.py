@@ -83,3 +83,19 @@ def unique_names(names: Iterable[str]) -> list[str]:
         k = seen[name] = seen.get(name, -1) + 1
         out.append(f"{name}{k - 1}" if k else name)
     return out
+
+
+def is_array(rows: DataFrame, name: str) -> bool:
+    """Whether a column holds lists."""
+    from pyspark.sql.types import ArrayType
+
+    return isinstance(rows.schema[name].dataType, ArrayType)
+
+
+#: What the elements of a typed list are called, and Spark's name of it.
+ELEMENTS = {"BOOLEAN": "boolean", "BYTE": "tinyint", "SHORT": "smallint", "INTEGER": "int", "LONG": "bigint", "FLOAT": "float", "DOUBLE": "double", "STRING": "string"}
+
+
+def array_of(kind: str, items: Column) -> Column:
+    """A list with elements of one type; what can't be one is null."""
+    return F.transform(items, lambda x: x.try_cast(ELEMENTS[kind]))

@@ -61,3 +61,16 @@ def postings(tokens: DataFrame, term: str, sample: DataFrame | None = None) -> D
     """A word's tokens, in a sample or in the corpus."""
     found = tokens.where(F.col("term") == term)
     return found if sample is None else found.join(sample, "doc_num", "left_semi")
+
+
+#: Terms that arrays() brings to the driver at most.
+ARRAY_ROWS = 5_000_000
+
+
+def arrays(lex: DataFrame) -> tuple:
+    """term (a list), tf and df (numpy arrays) in the order of idx, for callers outside Spark; a lexicon that is too large
+    for that is an error."""
+    if lex.count() > ARRAY_ROWS:
+        raise ValueError(f"more than {ARRAY_ROWS} terms")
+    table = lex.orderBy("idx").select("term", "tf", "df").toArrow()
+    return table.column("term").to_pylist(), table.column("tf").to_numpy(), table.column("df").to_numpy()

@@ -270,3 +270,34 @@ def merge_tokens(rows: DataFrame, joins: Column, by: str = "doc_num") -> DataFra
     rows = rows.withColumn("_j", F.coalesce(joins, F.lit(False))).withColumn("_run", F.sum(F.when(F.col("_j"), 0).otherwise(1)).over(w))
     own = rows.groupBy(by, "_run").agg(F.min("pos").alias("pos"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), "").alias("term"))
     return own.drop("_run")
+
+
+# Domains that every annotation has, left out of features unless asked for.
+BUILT_IN = ("Annotation", "AnnotationBase", "DocumentAnnotation", "Sofa")
+
+
+def discovered_paths(annotations: DataFrame, built_ins: bool = False) -> DataFrame:
+    """path (`Type:feature`): what project_paths can take of these annotations, namely the features of their types and the
+    names in attrs; with built_ins also begin and end."""
+    own = [(t, f"{t}:{f}") for t, (_, more) in TYPES.items() for f in more if f not in ("attributes", "tuples")]
+    if built_ins:
+        own += [("Annotation", f"Annotation:{f}") for f in ("begin", "end")]
+    known = F.create_map(*(x for t in dict.fromkeys(t for t, _ in own) for x in (F.lit(t), F.array(*(F.lit(p) for u, p in own if u == t)))))
+    there = annotations.select("type", F.explode("type_path").alias("t")).distinct()
+    if not built_ins:
+        there = there.where(~F.col("t").isin(*BUILT_IN))
+    fixed = there.select(F.explode(F.element_at(known, F.col("t"))).alias("path"))
+    named = annotations.select("type", F.explode(F.map_keys("attrs")).alias("k")).distinct().select(F.concat_ws(":", "type", "k").alias("path"))
+    return fixed.union(named).distinct()
+
+
+def document_names(annotations: DataFrame) -> DataFrame:
+    """doc_id, id, uri: those of each document's first Document annotation."""
+    w = Window.partitionBy("doc_id").orderBy("begin", F.desc("end"), "ann_id")
+    first = annotations.where(is_type("Document")).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return first.select("doc_id", "id", F.element_at("attrs", "uri").alias("uri"))
+
+
+def per_segment(segments: DataFrame, members: DataFrame, function: Callable[[DataFrame], DataFrame], segment: str = "Segment") -> DataFrame:
+    """A function over the members of every segment of a type (s_ columns beside m_ columns), all segments at once."""
+    return function(covered(segments.where(is_type(segment)), members))

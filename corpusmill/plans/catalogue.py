@@ -74,12 +74,6 @@ def _word_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("pos").cast("long").alias("ann_id"), F.lit("Token").alias("type"), path.alias("type_path"), "begin", "end", "surface")
 
 
-def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Marks with a text: periods and words of `conversations`, in order."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet")
-    return rows.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}£]+|\."), F.lit(0))).alias("pos", "token"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -260,36 +254,36 @@ def cooc_10_10(spark, sf):
     return datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf))
 
 
-@query(_cooc_sql(2, 5, 20, 60) + " SELECT i, j, s, s / 60.0::DOUBLE AS x FROM cooc")
+@query(_cooc_sql(2, 5, MIN_TF, 60) + " SELECT i, j, s, s / 60.0::DOUBLE AS x FROM cooc")
 def cooc_asym_2_5(spark, sf):
-    return datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf, 20), 2, 5)
+    return datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf), 2, 5)
 
 
-@query(_cooc_sql(5, 5, 20, 60, "lang = 'de'") + " SELECT i, j, s, s / 60.0::DOUBLE AS x FROM cooc")
+@query(_cooc_sql(5, 5, MIN_TF, 60, "lang = 'de'") + " SELECT i, j, s, s / 60.0::DOUBLE AS x FROM cooc")
 def cooc_sampled(spark, sf):
     sample = samples.by_terms(_docs(spark, sf), "lang", ["de"], "doc_id")
-    return datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf, 20), 5, 5, sample)
+    return datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf), 5, 5, sample)
 
 
-@query(_cooc_sql(10, 10, 50, 2520) + " SELECT i, count(*) AS cells, sum(s)::BIGINT AS total, max(s) AS most FROM cooc GROUP BY i")
+@query(_cooc_sql(10, 10, MIN_TF, 2520) + " SELECT i, count(*) AS cells, sum(s)::BIGINT AS total, max(s) AS most FROM cooc GROUP BY i")
 def cooc_row_stats(spark, sf):
-    return matrix.row_stats(datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf, 50)))
+    return matrix.row_stats(datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf)))
 
 
-@query(_cooc_sql(10, 10, 50, 2520) + " SELECT count(*) AS cells, count(DISTINCT i) AS n_rows, max(i) AS last_i, max(j) AS last_j FROM cooc")
+@query(_cooc_sql(10, 10, MIN_TF, 2520) + " SELECT count(*) AS cells, count(DISTINCT i) AS n_rows, max(i) AS last_i, max(j) AS last_j FROM cooc")
 def cooc_shape(spark, sf):
-    return matrix.shape(datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf, 50)))
+    return matrix.shape(datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf)))
 
 
-@query(_cooc_sql(0, 3, 50, 6) + " SELECT i, j, s FROM cooc ORDER BY i, j")
+@query(_cooc_sql(10, 10, MIN_TF, 2520) + " SELECT i, j, s FROM cooc ORDER BY i, j")
 def cooc_triplets(spark, sf):
-    return matrix.triplets(datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf, 50), 0, 3).select("i", "j", "s"))
+    return matrix.triplets(datasets.cooccurrence(_tokens(spark, sf), _lexicon(spark, sf)).select("i", "j", "s"))
 
 
-@query(_cooc_sql(5, 5, 50, 60, "lang IN ('en', 'de')") + " SELECT i, j, s FROM cooc")
+@query(_cooc_sql(10, 10, MIN_TF, 2520, "lang IN ('en', 'de')") + " SELECT i, j, s FROM cooc")
 def cooc_merge(spark, sf):
-    lex, stream, docs = _lexicon(spark, sf, 50), _tokens(spark, sf), _docs(spark, sf)
-    parts = [datasets.cooccurrence(stream, lex, 5, 5, samples.by_terms(docs, "lang", [x], "doc_id")) for x in ("en", "de")]
+    lex, stream, docs = _lexicon(spark, sf), _tokens(spark, sf), _docs(spark, sf)
+    parts = [datasets.cooccurrence(stream, lex, 10, 10, samples.by_terms(docs, "lang", [x], "doc_id")) for x in ("en", "de")]
     return matrix.merge(*parts, value="s")
 
 
@@ -413,9 +407,14 @@ def seq_ids(spark, sf):
     return col.numbered(_docs(spark, sf).select("doc_id", "lang"), ["lang"], ["doc_id"]).select("doc_id", "id")
 
 
-@query("SELECT doc_id, printf('%.2f %s', CASE WHEN n_chars < 1024 THEN n_chars ELSE round(n_chars / 1024.0, 2) END, CASE WHEN n_chars < 1024 THEN 'B' ELSE 'KB' END) AS size FROM documents WHERE n_chars < 1000000")
+_SIZE = "CASE WHEN {n} IS NULL THEN NULL WHEN {n} < 1024 THEN printf('%.2f B', {n}::DOUBLE) WHEN {n} < 1048576 THEN printf('%.2f KB', round({n} / 1024.0, 2)) WHEN {n} < 1073741824 THEN printf('%.2f MB', round({n} / 1048576.0, 2)) WHEN {n} < 1099511627776 THEN printf('%.2f GB', round({n} / 1073741824.0, 2)) ELSE printf('%.2f TB', round({n} / 1099511627776.0, 2)) END"
+
+
+@query("SELECT doc_id, " + ", ".join(f"{_SIZE.format(n=f'(n_chars::DOUBLE * {k})')} AS size_{i}" for i, k in enumerate((1, 1024, 1048576, 1073741824))) + f", {_SIZE.format(n='nullif(n_chars % 3, 0)')} AS size_or_null FROM documents")
 def readable_sizes(spark, sf):
-    return _docs(spark, sf).select("doc_id", text.readable_size(F.col("n_chars")).alias("size"))
+    n = F.col("n_chars")
+    sizes = [text.readable_size(n.cast("double") * 1024**i).alias(f"size_{i}") for i in range(4)]
+    return _docs(spark, sf).select("doc_id", *sizes, text.readable_size(F.nullif(n % 3, F.lit(0))).alias("size_or_null"))
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', '') AS base FROM pages")
@@ -423,36 +422,68 @@ def file_names(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("name"), text.base_name(F.col("url")).alias("base"))
 
 
-@query("SELECT event_id, try_cast(substr(props, 1, 3) AS INTEGER) AS n, try_cast(user_id::VARCHAR AS DOUBLE) AS x FROM events")
+@query("""SELECT event_id, try_cast(d AS INTEGER) AS n, try_cast(props AS INTEGER) AS whole, try_cast(d || '0000000' AS BIGINT) AS big, try_cast(d AS TINYINT) AS small, try_cast(d || '.25' AS DOUBLE) AS x,
+try_cast(CASE WHEN user_id % 3 = 0 THEN 'true' WHEN user_id % 3 = 1 THEN 'false' ELSE 'maybe' END AS BOOLEAN) AS flag, substr(event_type, 1, 1) AS first FROM (SELECT *, regexp_extract(props, '[0-9]+') AS d FROM events)""")
 def decoded_values(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet")
-    return rows.select("event_id", text.decode(F.substring("props", 1, 3), "INTEGER").alias("n"), text.decode(F.col("user_id").cast("string"), "REAL").alias("x"))
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("d", F.regexp_extract("props", "[0-9]+", 0))
+    d, flag = F.col("d"), F.element_at(F.array(*map(F.lit, ("true", "false", "maybe"))), (F.col("user_id") % 3 + 1).cast("int"))
+    return rows.select(
+        "event_id", text.decode(d, "INTEGER").alias("n"), text.decode(F.col("props"), "INTEGER").alias("whole"), text.decode(F.concat(d, F.lit("0000000")), "LONG").alias("big"),
+        text.decode(d, "BYTE").alias("small"), text.decode(F.concat(d, F.lit(".25")), "REAL").alias("x"), text.decode(flag, "BOOLEAN").alias("flag"), text.decode(F.col("event_type"), "CHAR").alias("first"),
+    )
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(x) AS token, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}£]+|\.') AS x FROM documents)),
+n AS (SELECT *, lag(token) OVER w AS prev, lead(token) OVER w AS next FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos::INT AS pos, CASE WHEN starts_with(prev, 'Knt') OR prev LIKE '%Serj%' OR prev LIKE '%Esq%' OR prev LIKE '%viz%' OR prev LIKE '%£%' OR regexp_matches(prev, '[0-9][lsd]$') THEN 'YES' ELSE 'NO' END AS dump
+FROM n WHERE token = '.' AND length(next) = 1 AND next BETWEEN 'a' AND 'z'""")
+def abbrev_period(spark, sf):
+    """On the texts in lower case, where a sentence may begin with one letter."""
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}£]+|\."), F.lit(0))).alias("pos", "token"))
+    rows = col.neighbours(rows, ["doc_id"], ["pos"], "token", 20)
+    rows = rows.withColumn("dump", text.ends_no_sentence(F.col("prev"), F.col("token"), F.col("next")))
+    return rows.where("dump is not null").select("doc_id", "pos", "dump")
 
 
-@query("SELECT event_id, try_cast(regexp_extract(props, '[0-9]+') AS INTEGER) AS n, try_cast(props AS INTEGER) AS whole FROM events")
-def decoded_props(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet")
-    return rows.select("event_id", text.decode(F.regexp_extract("props", "[0-9]+", 0), "INTEGER").alias("n"), text.decode(F.col("props"), "INTEGER").alias("whole"))
+# The SQL of speech spells its patterns by itself.
+_SAID = "'^((mrs?\\. )?[a-z'']+( [a-z'']+)?)(, a [a-z''])?\\.(.+)'"
+_ASKED, _ANSWERED = "'(Q\\.?\\ ?)(.*)(- A[.,\\ ])(.*)'", "'(.*)(\\?\\ -A\\.?)(.*)'"
+_NOT_SAID = " OR ".join(f"regexp_matches(lower(text), {p})" for p in ("'^(before|for|in|guilty)'", "'conducted the prosecution'", "'sworn\\.$'", "'^N\\.\\ ?B\\.?'", "'^\\w+\\b(indictment|count)'", "'cross examination'"))
+_SPEECH = f"""CASE WHEN regexp_matches(lower(text), {_SAID}) AND NOT ({_NOT_SAID}) THEN 'testimony' WHEN regexp_matches(text, {_ASKED}) THEN 'question' WHEN regexp_matches(text, {_ANSWERED}) THEN 'answered' ELSE 'none' END"""
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, unnest(x) AS token, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}£]+|\.') AS x FROM conversations)),
-n AS (SELECT *, lag(token) OVER w AS prev, lead(token) OVER w AS next FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))
-SELECT conv_id, turn, pos::INT AS pos, CASE WHEN regexp_matches(prev, '^Knt|Serj|Esq|viz|£|[0-9]+[lsd]$') THEN 'YES' ELSE 'NO' END AS dump FROM n WHERE token = '.' AND regexp_full_match(next, '[a-z]')""")
-def abbrev_period(spark, sf):
-    rows = col.neighbours(_sentences(spark, sf), ["conv_id", "turn"], ["pos"], "token", 20)
-    rows = rows.withColumn("dump", text.ends_no_sentence(F.col("prev"), F.col("token"), F.col("next")))
-    return rows.where("dump is not null").select("conv_id", "turn", "pos", "dump")
+@query(f"SELECT conv_id, turn, {_SPEECH} AS kind FROM conversations")
+def speech_turns(spark, sf):
+    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", text.speech_kind(F.col("text")).alias("kind"))
 
 
-_EXCLUDED = " OR ".join(f"regexp_matches(text, '{p}')" for p in text.SPEECH_EXCLUSIONS)
+def _said(k: int) -> str:
+    return f"length(regexp_extract(lower(text), {_SAID}, {k}))"
 
 
 @query(
-    f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{text.TESTIMONY.replace("'", "''")}') AND NOT ({_EXCLUDED}) THEN 'testimony' WHEN regexp_matches(text, '{text.QUESTION_ANSWER}') THEN 'question'
-WHEN regexp_matches(text, '{text.ANSWERED}') THEN 'answered' ELSE 'none' END AS kind FROM conversations"""
+    f"""WITH k AS (SELECT conv_id, turn, text, {_SPEECH} AS kind FROM conversations), p AS (
+SELECT conv_id, turn, 'prefix' AS part, 0 AS b, {_said(2)} AS e FROM k WHERE kind = 'testimony' UNION ALL
+SELECT conv_id, turn, 'speaker', 0, {_said(1)} FROM k WHERE kind = 'testimony' UNION ALL
+SELECT conv_id, turn, 'descriptor', {_said(1)}, {_said(1)} + {_said(4)} FROM k WHERE kind = 'testimony' UNION ALL
+SELECT conv_id, turn, 'testimony', {_said(0)} - {_said(5)}, {_said(0)} FROM k WHERE kind = 'testimony')
+SELECT conv_id, turn, part, b::INT AS "begin", e::INT AS "end" FROM p WHERE e > b"""
 )
-def speech_turns(spark, sf):
-    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", text.speech_kind(F.col("text")).alias("kind"))
+def speech_testimonies(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").where(text.speech_kind(F.col("text")) == "testimony")
+    return rows.select("conv_id", "turn", F.inline(text.speech_parts(F.col("text"))))
+
+
+_QUIZ = "'1 Q. ' || coalesce(text, '') || ' - A. ' || role"
+
+
+@query(f"""WITH k AS (SELECT conv_id, turn, {_QUIZ} AS text FROM conversations), g AS (SELECT *, regexp_extract(text, {_ASKED}, 0) AS g0, regexp_extract(text, {_ASKED}, 1) AS g1, regexp_extract(text, {_ASKED}, 2) AS g2, regexp_extract(text, {_ASKED}, 4) AS g4 FROM k WHERE {_SPEECH} = 'question')
+SELECT conv_id, turn, part, b::INT AS "begin", e::INT AS "end" FROM (
+SELECT conv_id, turn, 'question' AS part, instr(text, g0) - 1 + length(g1) AS b, instr(text, g0) - 1 + length(g1) + length(g2) AS e FROM g UNION ALL
+SELECT conv_id, turn, 'answer', instr(text, g0) - 1 + length(g0) - length(g4), instr(text, g0) - 1 + length(g0) FROM g) WHERE e > b""")
+def speech_questions(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.concat(F.lit("1 Q. "), F.coalesce("text", F.lit("")), F.lit(" - A. "), "role").alias("text"))
+    return rows.where(text.speech_kind(F.col("text")) == "question").select("conv_id", "turn", F.inline(text.speech_parts(F.col("text"))))
 
 
 # annotations
@@ -465,15 +496,8 @@ def spans_covered(spark, sf):
     return rows.select("doc_id", F.col("s_ann_id").alias("ann_id"), "n", F.md5(F.array_join(F.transform("x", lambda r: r["m_surface"]), " ")).alias("digest"))
 
 
-@query(f"WITH {PARAS}, {WORDS} SELECT w.doc_id, w.pos AS word, p.ann_id AS paragraph FROM words w JOIN paras p ON w.doc_id = p.doc_id AND p.b <= w.b AND p.e >= w.e WHERE length(w.surface) > 12")
-def spans_covering(spark, sf):
-    long = _word_annotations(spark, sf).where("length(surface) > 12").withColumn("ann_id", F.col("ann_id") + 1_000_000)
-    pairs = spans.covering(long, spans.paragraphs(_docs(spark, sf)))
-    return pairs.select("doc_id", (F.col("s_ann_id") - 1_000_000).alias("word"), F.col("c_ann_id").alias("paragraph"))
-
-
 @query(f"WITH {PARAS}, {WORDS} SELECT w.doc_id, w.pos AS word, p.ann_id AS paragraph FROM words w JOIN paras p ON w.doc_id = p.doc_id AND p.b <= w.b AND p.e >= w.e")
-def spans_covering_all(spark, sf):
+def spans_covering(spark, sf):
     words = _word_annotations(spark, sf).withColumn("ann_id", F.col("ann_id") + 1_000_000)
     pairs = spans.covering(words, spans.paragraphs(_docs(spark, sf)))
     return pairs.select("doc_id", (F.col("s_ann_id") - 1_000_000).alias("word"), F.col("c_ann_id").alias("paragraph"))
@@ -561,8 +585,12 @@ def page_documents(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from corpusmill.plans import catalogue_parts  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from corpusmill.plans import catalogue_parts  # noqa: F401
+
     return dict(SQL)

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.config import Settings
 from corpusmill.operators.indexing import index_segments
 from corpusmill.operators.tokens import TokenSpec
+from corpusmill.plans.progress import Progress
 from corpusmill.sources import markup, sinks
-from corpusmill.sources.files import read_files
+from corpusmill.sources.files import read_deltas, read_files, with_deltas
 
 Tables = tuple[DataFrame, DataFrame]
 
@@ -35,7 +36,10 @@ class Pipeline:
 
     def _markup(self, spark: SparkSession) -> Tables:
         kind = self.settings.reader
-        files = read_files(spark, self.settings.folder("input_dir"), f"*.{kind}", True)
+        own = self.settings.parameters("reader")
+        files = read_files(spark, self.settings.folder("input_dir"), own.get("glob", f"*.{kind}"), True, int(own.get("stop_after", 0)), int(own.get("sample", 0)))
+        if own.get("deltas"):  # markup under its deltas: the last one counts
+            files = with_deltas(files, read_deltas(spark, files, self.settings.folder("input_dir"), own["deltas"]), "path")
         from corpusmill.functions.text import base_name
 
         rows = files.select(base_name(files["path"]).alias("name"), "content")
@@ -53,12 +57,16 @@ class Pipeline:
 
     def run(self, spark: SparkSession) -> None:
         s = self.settings
+        progress = Progress("job", len(s.annotators) + 2, s.quiet)
         docs, annotations = self.readers[s.reader](spark)
+        progress.add()
         for name in s.annotators:
             docs, annotations = self.annotators[name](docs, annotations)
+            progress.add()
         if s.dump_conf:
             folder = s.folder("output_dir")
             os.makedirs(folder, exist_ok=True)
             with open(os.path.join(folder, "settings.json"), "w", encoding="utf-8") as out:
                 json.dump({"settings": asdict(s), "docs": json.loads(docs.schema.json()), "annotations": json.loads(annotations.schema.json())}, out, indent=1)
         self.consumers[s.consumer](docs, annotations)
+        progress.add()

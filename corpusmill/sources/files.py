@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,9 +68,9 @@ def delta_path(path: str, i: int, pattern: str = "../%i/%c.%e") -> str:
 def read_deltas(spark: SparkSession, base: DataFrame, folder: str, pattern: str = "../%i/%c.%e", path: str = "path", content: str = "content") -> DataFrame:
     """delta_no, path (of the file it belongs to) and content of the delta files that the pattern names for the files in
     `folder`. The folders it can name are listed once, whatever the number of files."""
-    top = posixpath.normpath(posixpath.join(folder, pattern[: pattern.index("%")].rpartition("/")[0] or "."))
-    if "://" in folder and "://" not in top:
-        top = top.replace(":/", "://", 1)
+    place = urlparse(folder)
+    top = posixpath.normpath(posixpath.join(place.path, pattern[: pattern.index("%")].rpartition("/")[0] or "."))
+    top = place._replace(path=top).geturl() if place.scheme else top
     names = {"%i": r"(?<i>\d+)", "%c": r"(?<c>[^/]*)", "%e": r"(?<e>[^./]*)"}
     steps = [s for s in re.split(r"(%[ice])", pattern[len(pattern[: pattern.index("%")].rpartition("/")[0]) :].lstrip("/"))]
     tail = "/" + "".join(names.get(s, re.escape(s)) for s in steps) + "$"

@@ -187,7 +187,10 @@ def read_markup(rows: DataFrame, key: str, content: str, mapping: Mapping, kind:
     """A row for each document: row (of the input), doc_id, index (from 1 within the row), xpath, text, error,
     annotations. rows: a key and the markup, as text or bytes. With an XPath each element is a document, named after the
     key, the path and its number."""
-    ElementTree.Element("any").find(xpath.lstrip("/") if xpath else "any")  # a path that can't be read is an error here
+    try:  # a path that can't be read is an error here, not in the workers
+        ElementTree.Element("any").find(xpath.lstrip("/") if xpath else "any")
+    except (SyntaxError, TypeError) as e:
+        raise ValueError(f"not a path of elements: {xpath!r}") from e
     tag = re.sub("/+", "-", xpath) if xpath else ""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

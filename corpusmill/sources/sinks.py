@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+TOKENS = "doc_num long, pos int, term string, begin int, end int, payload string, type string, field string"
 TRIPLET = np.dtype([("i", "<i4"), ("j", "<i4"), ("x", "<f8")])
 
 
@@ -136,8 +138,14 @@ class IndexWriter:
 
 
 def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """segments and tokens."""
-    return tuple(spark.read.parquet(posixpath.join(folder, x)) for x in ("segments", "tokens"))
+    """segments and tokens; of an index without a token, an empty table."""
+    try:
+        tokens = spark.read.parquet(posixpath.join(folder, "tokens"))
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        tokens = spark.createDataFrame([], TOKENS)
+    return spark.read.parquet(posixpath.join(folder, "segments")), tokens
 
 
 def write_documents(docs: DataFrame, annotations: DataFrame, folder: str, mode: str = "overwrite") -> None:

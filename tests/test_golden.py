@@ -202,16 +202,11 @@ def test_settings(tmp_path):
 def test_sizes_of_all_documents(spark, tmp_path):
     sizes = [None, 0, 1023, 1024, 1536, 999_999, 1_000_000, 1024**2 - 1, 1024**2, 3 * 1024**2 // 2, 1024**3, 1024**4, 5 * 1024**4]
     spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.size for r in catalogue.readable_sizes(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.size_0 for r in catalogue.readable_sizes(spark, str(tmp_path)).collect()}
     want = [None, "0.00 B", "1023.00 B", "1.00 KB", "1.50 KB", "976.56 KB", "976.56 KB", "1024.00 KB", "1.00 MB", "1.50 MB", "1.00 GB", "1.00 TB", "5.00 TB"]
     assert got == dict(enumerate(want))
 
 
-def test_covering_takes_short_words(spark):
-    sf = "/root/testdata/sf0.001"
-    assert catalogue.spans_covering_all(spark, sf).count() > 10 * catalogue.spans_covering(spark, sf).count()
-
-
 def test_props_are_decoded(spark):
-    rows = catalogue.decoded_props(spark, "/root/testdata/sf0.001")
+    rows = catalogue.decoded_values(spark, "/root/testdata/sf0.001")
     assert rows.where("n is not null").count() == rows.count() > 0

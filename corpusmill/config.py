@@ -37,7 +37,7 @@ class Settings:
     cooc_w_pre: int = 10
     cooc_w_pos: int = 10
     min_term_freq: int = 5
-    threads: int = os.cpu_count() or 1
+    threads: int = 0  # tasks at a time that small inputs are dealt for; 0: as many as the cluster has cores
     quiet: bool = False
     dump_conf: bool = False
     others: tuple[tuple[str, str], ...] = ()

@@ -32,7 +32,7 @@ class Corpus:
         split = settings.field_split if settings.field_split in docs.columns else None
         self.split = split
         if tokens is None:
-            self.source = word_lists(spread(docs), doc, text_col, (split,) if split else ())
+            self.source = word_lists(spread(docs, settings.threads), doc, text_col, (split,) if split else ())
             self.tokens = from_lists(self.source)
         else:
             self.source = self.tokens = tokens

@@ -28,7 +28,7 @@ class Pipeline:
         self.settings, self.specs, self.mapping, self.segment, self.xpath = settings, specs, mapping, segment, xpath
         self.readers: dict[str, Callable] = {"parquet": self._parquet, "xml": self._markup, "html": self._markup}
         self.annotators: dict[str, Callable[[DataFrame, DataFrame], Tables]] = {}
-        self.consumers: dict[str, Callable[[DataFrame, DataFrame], None]] = {"index": self._index, "parquet": self._write}
+        self.consumers: dict[str, Callable[[DataFrame, DataFrame], None]] = {"index": self._index, "parquet": self._write, "write": self._write}
         self.rejects: DataFrame | None = None
 
     def _parquet(self, spark: SparkSession) -> Tables:
@@ -53,7 +53,16 @@ class Pipeline:
         sinks.IndexWriter(self.settings.folder("index_dir")).write(segments, tokens)
 
     def _write(self, docs: DataFrame, annotations: DataFrame) -> None:
-        sinks.write_documents(docs, annotations, self.settings.folder("output_dir"))
+        """Documents in the settings' form: Parquet, XML, or a file of text for each."""
+        folder, form, own = self.settings.folder("output_dir"), self.settings.writer, self.settings.parameters("writer")
+        if form == "xml":
+            sinks.write_xml(docs, folder)
+        elif form == "text":
+            sinks.write_files(docs, folder, "doc_id", "text", own.get("pattern", "%c.%e"), own.get("ext", "txt"), own.get("overwrite", "true") == "true")
+        elif form == "parquet":
+            sinks.write_documents(docs, annotations, folder)
+        else:
+            raise ValueError(f"no writer {form!r}")
 
     def run(self, spark: SparkSession) -> None:
         s = self.settings

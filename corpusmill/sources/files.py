@@ -24,11 +24,11 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: boo
 SPREAD_BYTES = 256 << 20
 
 
-def spread(rows: DataFrame) -> DataFrame:
+def spread(rows: DataFrame, threads: int = 0) -> DataFrame:
     """Rows of a small input over all cores. A small file is often one row group, which one task reads alone; large
     inputs have row groups enough and stay where they are."""
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else rows
+    return rows.repartition(2 * (threads or rows.sparkSession.sparkContext.defaultParallelism)) if size <= SPREAD_BYTES else rows
 
 
 def read_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False, stop_after: int = 0, sample: int = 0, seed: int = 0) -> DataFrame:

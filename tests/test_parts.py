@@ -9,6 +9,7 @@ from corpusmill.functions import collections as col
 from corpusmill.functions import records, text
 from corpusmill.operators import datasets, lexicon, samples, spans, tokens
 from corpusmill.plans.corpus import Corpus
+from corpusmill.plans.pipeline import Pipeline
 from corpusmill.plans.progress import Progress, Shared
 from corpusmill.sources import markup, sinks
 
@@ -133,6 +134,24 @@ def test_index_recovers(spark, tmp_path):
     assert sinks.read_index(spark, index)[1].count() == 1 and sorted(p.name for p in (tmp_path / "index").iterdir()) == ["segments", "tokens"]
 
 
+def test_writers_of_a_job(spark, tmp_path):
+    (tmp_path / "data/input").mkdir(parents=True)
+    (tmp_path / "data/input/f.xml").write_text("<doc><p>one</p><p>two</p></doc>")
+    base = Settings(home_dir=str(tmp_path), reader="xml", consumer="write", quiet=True)
+    spec = [tokens.TokenSpec("raw", "Entity", tokens.TextTokenizer())]
+    for form in ("text", "xml", "parquet"):
+        s = base.with_values({"writer": form, "output_dir": form, "writer.ext": "md"})
+        Pipeline(s, spec, xpath="/doc/p").run(spark)
+        if form == "text":
+            assert sorted((p.name, p.read_text()) for p in (tmp_path / "data/text").iterdir() if p.suffix == ".md") == [("f-doc-p-1.md", "one"), ("f-doc-p-2.md", "two")]
+        elif form == "xml":
+            assert {r.text for r in sinks.read_xml(spark, s.folder("output_dir"), "document").collect()} == {"one", "two"}
+        else:
+            assert sinks.read_documents(spark, s.folder("output_dir"))[0].count() == 2
+    with pytest.raises(ValueError):
+        Pipeline(base.with_values({"writer": "none"}), spec).run(spark)
+
+
 def test_settings_of_parts(tmp_path):
     s = Settings().with_values({"min_term_freq": "3", "reader.glob": "*.xml", "x.words": "a, b", "x.sizes": "k:1,l:2"})
     assert s.min_term_freq == 3 and s.parameters("reader") == {"glob": "*.xml"}

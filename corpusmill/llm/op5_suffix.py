@@ -311,4 +311,7 @@ def stripped(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Dat
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stripped(common.documents(spark, sf_dir)).drop("kept")
+    """The digests, and what is left: n_kept and the text, in which a character that was cut is U+FFFD."""
+    rows = stripped(common.documents(spark, sf_dir))
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), left)

@@ -311,6 +311,13 @@ def test_suffixes(docs, rows, empty, odd, length, window):
     assert op5_suffix.stripped(empty).count() == 0 and op5_suffix.stripped(odd).count() == 2
 
 
+def test_suffix_query(spark, tmp_path):
+    passage = "é" * 250
+    spark.createDataFrame([(1, "x" + passage, None, None, 0), (2, "y" + passage + "z", None, None, 0), (3, None, None, None, 0)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_kept, r.kept_text) for r in op5_suffix.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (500, 1, "x"), 2: (500, 2, "yz"), 3: (0, 0, "")}
+
+
 def test_long_text_is_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(op5_suffix, "CHUNK", 1000)
     data = np.random.default_rng(1).integers(97, 123, 5000, dtype=np.uint8).tobytes()

@@ -4,11 +4,13 @@ A byte-level tokenizer first splits a text into words, each with at most one spa
 word by itself. A text may be cut before a space, around a line end, and between a Latin letter and a run of marks:
 these always part words where at most two white spaces stand together, so the ids of the pieces, joined, are the ids
 of the text. Cutting and numbering the pieces run outside Python; each distinct piece is looked up once a batch, and
-new ones go to the library in one call. Texts with other white space are encoded by the library as they stand.
+new ones go to the library in one call. Texts with other white space, or that spell a special token, are encoded by the
+library as they stand.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -40,6 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]  # the library looks for these first
+        self.odd = "|".join([ODD, *(re.sub(r"([^\w\s])", r"\\\1", t) for t in special if t)])
         self.byte_level = "ByteLevel" in str(self.lib.pre_tokenizer) and self.lib.normalizer is None
         self._reset()
 
@@ -79,7 +83,7 @@ class Encoder:
         column = column.cast(pa.large_string()).fill_null("")
         if not self.byte_level or (pc.sum(pc.binary_length(column)).as_py() or 0) < 2000:
             return [self.plain(t) if t else b"" for t in column.to_pylist()]
-        odd = pc.match_substring_regex(column, ODD)
+        odd = pc.match_substring_regex(column, self.odd)
         cut = pc.replace_substring(pc.if_else(odd, "", column), " ", CUT + " ")
         cut = pc.replace_substring(cut, "\n", f"{CUT}\n{CUT}")
         cut = pc.replace_substring_regex(cut, LETTER_MARKS, rf"\1{CUT}\2")

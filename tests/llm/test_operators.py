@@ -205,11 +205,19 @@ def test_line_dedup_keeps_columns(docs, odd, empty):
 
 
 def test_encoder_agrees():
+    """The ids are those of the library as its file sets it up, whatever white space, marks or special tokens are there."""
     lib = tokens.Encoder(tokens.tokenizer_path())
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
     rnd = random.Random(2)
     texts = [t or "" for _, t, *_ in corpus(9)]
-    texts += ["".join(rnd.choice("ab .,\n\t  é'1€ <|endoftext|>") for _ in range(rnd.randint(0, 900))) for _ in range(200)]
-    assert lib.ids_of(texts) == [lib.plain(t) if t else b"" for t in texts]
+    parts = ["a", "b", " ", " ", ".", ",", "\n", "\t", "  ", "é", "'", "'s", "1", "€", "<|endoftext|>", "...", "\x01", "\u3000", "ß", "Ω", "n't", "\u00a0", "\u0301", "中"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 900))) for _ in range(300)]
+    calm = ["ab", " ", " ", ".", "(", "\n", "é", "'", "'s", "'ll", "1", "€", "<|endoftext|>", "-", "Ω", "n't", "\u0301", "中", "_", "x.y"]
+    texts += ["".join(rnd.choice(calm) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    texts += ["hi <|endoftext|> there", "x  \n", " \n", "a \n b", "\n\nw\n\n", "it's 'so'. he'd.'s", "word " * 200_000, "x" * 100_000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert lib.ids_of(texts) == want
+    assert lib.ids_of(pa.array(texts[::-1])) == want[::-1]
 
 
 def test_packing(docs, rows, empty, odd):

@@ -7,18 +7,8 @@ from pyspark.sql import functions as F
 
 
 def ranked(rows: DataFrame, count: str = "tf", term: str = "term", name: str = "idx") -> DataFrame:
-    """Adds the place of each row by count (descending) and term (ascending, by bytes), from 0.
-
-    Rows are numbered within cells of one count and one beginning of terms; what stands before a cell is a prefix sum
-    over the cells, which are few: counts that many terms share are small ones.
-    """
-    cells = rows.withColumn("_cell", F.substring(term, 1, 2))
-    sizes = cells.groupBy(count, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.desc(count), F.asc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(count, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(count, "_cell").orderBy(term)
-    placed = cells.withColumn("_own", F.row_number().over(own) - 1).join(sizes, [count, "_cell"])
-    return placed.select((F.col("_before") + F.col("_own")).cast("long").alias(name), *rows.columns)
+    """Adds the place of each row by count (descending) and term (ascending, by bytes), from 0."""
+    return range_ranked(rows, [F.desc(count), F.asc(term)], name).select(name, *rows.columns)
 
 
 def range_ranked(rows: DataFrame, by: list, name: str) -> DataFrame:

@@ -129,6 +129,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int | N
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def tidy(run):
+    """run, after which a worker gives back the memory that it no longer uses: workers live on from task to task, and
+    what they keep is missing for the executor's next stage."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def groups(batches, n_keys: int):
     """Runs of rows with equal values in the first n_keys (integer) columns of record batches that come sorted by
     them: (key, table) for each. Holds one run at a time."""

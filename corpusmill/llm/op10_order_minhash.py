@@ -45,7 +45,7 @@ _SEEDS = _odd[WORDS:, None]
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -192,7 +192,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([n for n, _ in rows], pa.int64()), buckets], names=["doc_id", "_h1", "_h2", "n", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, _h1 long, _h2 long, n long, buckets array<long>")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, _h1 long, _h2 long, n long, buckets array<long>")
 
 
 def families(texts: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def links(docs: DataFrame, texts: DataFrame, found: DataFrame, least: float = SI
                 yield pa.RecordBatch.from_pydict({"a": ids[[p for p, _ in out]], "b": ids[[q for _, q in out]]})
 
     dealt = rows.repartition(common.parts(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(common.tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, folder: str, seq_len: int = 2048, end_id: int
     n = shards or max(common.parts(spark), -(-(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = [r.asDict() for r in ranged.mapInArrow(run, MANIFEST).collect()]  # one row a shard
+    manifest = [r.asDict() for r in ranged.mapInArrow(common.tidy(run), MANIFEST).collect()]  # one row a shard
     manifest.sort(key=lambda r: r["shard"])
     for r, start in zip(manifest, accumulate((r["n_tokens"] for r in manifest), initial=0)):
         r["start"] = start

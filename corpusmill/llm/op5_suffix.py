@@ -158,7 +158,7 @@ def sample(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataF
                 more = [pa.array(v.astype(np.int32)) for v in (end_of + shift, times)]
                 yield pa.RecordBatch.from_arrays([*keys, *ints, pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), *more], names=["doc_id", "_x", "p1", "p2", "near", "core", "span", "last", "times"])
 
-    return _texts(docs).mapInArrow(run, RUNS)
+    return _texts(docs).mapInArrow(common.tidy(run), RUNS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

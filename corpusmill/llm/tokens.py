@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces (about 180 bytes each) and ids that a worker keeps before it forgets the later pieces, or all.
-KEPT_PIECES, KEPT_IDS = 1_200_000, 20_000_000
+KEPT_PIECES, KEPT_IDS = 900_000, 15_000_000
 #: Stands between pieces; a text that holds it is left to the library.
 CUT = "\x01"
 #: A letter (all of them are, for any regular-expression library) and marks that no word of letters holds; an

@@ -134,22 +134,27 @@ def tidy(run):
     what they keep is missing for the executor's next stage."""
 
     def tidied(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return tidied
 
 
+def trim() -> None:
+    """Gives memory that is no longer used back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def groups(batches, n_keys: int):
     """Runs of rows with equal values in the first n_keys (integer) columns of record batches that come sorted by
     them: (key, table) for each. Holds one run at a time."""

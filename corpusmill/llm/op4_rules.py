@@ -156,11 +156,11 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = 40, depth:
         rules, step = _tree(x, bins, cuts, (p - y) * use, p * (1 - p) * use, names, depth)
         found |= dict.fromkeys(rules)
         margin += 0.3 * step
-    a = _fires(list(found), names, x)
+    a = _fires(list(found), names, x) > 0  # one byte a cell until most rules are gone
     _, first = np.unique(a, axis=1, return_index=True)  # rules that fire alike count once
     share = a.mean(axis=0)
     own = sorted(i for i in first if 0.002 <= share[i] <= 0.998)
-    rules, a = [list(found)[i] for i in own], a[:, own]
+    rules, a = [list(found)[i] for i in own], a[:, own].astype(float)
     check = rnd.random(len(y)) < 0.25
     best = (np.inf, 0.0)
     for penalty in (3e-2, 1e-2, 3e-3, 1e-3, 3e-4):
@@ -182,7 +182,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Rule
     stats = statistics()
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "_y", *(c.alias(k) for k, c in stats.items()))
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "n_words", "word_chars").limit(max_rows).toPandas()
-    return fit(list(stats), got[list(stats)].to_numpy(float), got["_y"].to_numpy(float))
+    model = fit(list(stats), got[list(stats)].to_numpy(float), got["_y"].to_numpy(float))
+    common.trim()
+    return model
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:

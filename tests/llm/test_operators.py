@@ -158,6 +158,39 @@ def test_lines_links(spark):
         assert (r.n_links, r.n_copies) == (links[x], copies[x])
 
 
+def test_lines_of_a_crowd(spark):
+    """A large group of lines about as far apart as the threshold makes no pairs but those of a bounded number a line, and
+    loses no link, whether links are counted or lines are only connected."""
+    rnd = random.Random(5)
+    base, lines = [rnd.choice("abcdefgh   ") for _ in range(240)], set()
+    while len(lines) < 300:
+        x = list(base)
+        for _ in range(rnd.randint(4, 9)):
+            x[rnd.randrange(240)] = rnd.choice("XYZ")
+        lines.add("".join(x))
+    lines = sorted(lines)
+    hashes, crowds = np.arange(300), []
+    rec = op1_line_dedup.seeds(lines, hashes, np.zeros(op1_line_dedup.SLOTS, np.uint8), 60, 1000)
+    made = sum(len(p[0]) for p in op1_line_dedup.seeded_pairs(rec, crowds=crowds))
+    assert crowds and made <= op1_line_dedup.CROWD * len(rec)
+    links, classes = Counter(), Classes()
+    for i, a in enumerate(lines):
+        classes.find(a)
+        for b in lines[i + 1 :]:
+            if op1_line_dedup._long_within(a, b, 12):
+                links.update((a, b))
+                classes.join(a, b)
+    assert 0 < sum(links.values()) < 300 * 299 / 2
+    first = {}
+    for i, x in enumerate(lines):
+        first.setdefault(classes.find(x), i)
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(lines)], SCHEMA).repartition(5)
+    for every in (True, False):
+        for r in op1_line_dedup.line_classes(docs, None, every).collect():
+            assert r.class_doc_id == first[classes.find(lines[r.doc_id])]
+            assert r.n_links == (links[lines[r.doc_id]] if every else None)
+
+
 def test_long_edits_random():
     rnd = random.Random(9)
     a, b = [], []

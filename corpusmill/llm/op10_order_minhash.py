@@ -205,11 +205,13 @@ def families(texts: DataFrame) -> DataFrame:
     # then looked up once for what is connected, not for each copy
     some = own.select("id", F.explode(F.transform(F.slice("bs", F.lit(2), F.size("bs") - 1), lambda y, i: F.xxhash64(F.get("bs", i), y))).alias("p"))
     near = common.written(common.components(_stars(some)), "near")
+    common.sweep(texts.sparkSession)
     named = own.join(near.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("id"), "bs")
     pairs = F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 2, SKETCHES), lambda y: F.xxhash64(x, y))))
     two = common.written(named.select("id", F.explode(pairs).alias("p")).distinct(), "pairs")
     joined = common.written(common.components(_stars(two)), "joined")
     common.discard(two)
+    common.sweep(texts.sparkSession)
     top = near.select(F.col("node").alias("id"), "component").join(joined.select(F.col("node").alias("component"), F.col("component").alias("family")), "component", "left")
     top = top.select("id", F.coalesce("family", "component").alias("family"))
     alone = joined.join(near.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
@@ -259,10 +261,14 @@ def links(docs: DataFrame, texts: DataFrame, found: DataFrame, least: float = SI
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, _h1, _h2, copy_of (least doc_id with that text), class_id (least doc_id of its class), class_docs: a
     row for each row of docs."""
+    common.sweep(docs.sparkSession)  # the jobs before this have made the driver large
     seen = common.written(sketch(docs), "sketches")
     texts = seen.groupBy("_h1", "_h2").agg(F.min_by(F.struct("n", "buckets"), F.struct("doc_id")).alias("s"), F.min(F.struct("doc_id")).alias("d"), F.count(F.lit(1)).alias("copies"))
     texts = common.written(texts.select(F.monotonically_increasing_id().alias("id"), F.col("d.doc_id").alias("doc_id"), "_h1", "_h2", "copies", "s.n", "s.buckets"), "texts")
-    found = common.components(common.written(links(docs, texts, families(texts), least), "links"))
+    common.sweep(docs.sparkSession)
+    linked = common.written(links(docs, texts, families(texts), least), "links")
+    common.sweep(docs.sparkSession)
+    found = common.components(linked)
     named = texts.join(found, texts["id"] == found["node"], "left").select("_h1", "_h2", "doc_id", "copies", F.coalesce("component", "id").alias("c"))
     classes = named.groupBy("c").agg(F.min(F.struct("doc_id"))["doc_id"].alias("class_id"), F.sum("copies").alias("class_docs"))
     named = named.join(classes, "c").select("_h1", "_h2", F.col("doc_id").alias("copy_of"), "class_id", "class_docs")

@@ -182,6 +182,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Rule
     stats = statistics()
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "_y", *(c.alias(k) for k, c in stats.items()))
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "n_words", "word_chars").limit(max_rows).toPandas()
+    common.sweep(docs.sparkSession)  # the fit takes memory beside the driver's JVM
     model = fit(list(stats), got[list(stats)].to_numpy(float), got["_y"].to_numpy(float))
     common.trim()
     return model

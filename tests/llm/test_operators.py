@@ -609,3 +609,29 @@ def test_components_settle_or_raise(spark):
     with pytest.raises(RuntimeError):
         common.components(path, max_rounds=1)
     assert {r.component for r in common.components(path).collect()} == {0}
+
+
+def test_sweep_trims_the_driver(spark):
+    """What the driver's JVM has freed outside its heap goes back to the system."""
+    import re
+    from pathlib import Path
+
+    jvm = spark.sparkContext._jvm
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, pid = field.get(None), jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+
+    size, places = 1 << 16, []
+    for _ in range(3200):  # 200 MB, in pieces that malloc doesn't map one by one
+        places.append(unsafe.allocateMemory(size))
+        unsafe.setMemory(places[-1], size, 1)
+    for place in places[:-1]:  # the last one keeps the end of the arena
+        unsafe.freeMemory(place)
+    before = held()
+    common.sweep(spark)
+    after = held()
+    unsafe.freeMemory(places[-1])
+    assert before - after > 100

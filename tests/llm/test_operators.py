@@ -635,3 +635,15 @@ def test_sweep_trims_the_driver(spark):
     after = held()
     unsafe.freeMemory(places[-1])
     assert before - after > 100
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_lines_leave_no_pairs(spark, docs, every):
+    """Tables of candidates and texts are deleted once nothing reads them."""
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    seen = set(os.listdir(folder))
+    assert op1_line_dedup.line_classes(docs, None, every).count()
+    left = {name.split("-")[1] for name in set(os.listdir(folder)) - seen if name.startswith("corpusmill-")}
+    assert not left & {"short", "band", "pairs", "crowds", "texts", "known"} and "links" in left

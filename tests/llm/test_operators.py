@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import common, op1_line_dedup, op2_packing, op3_arrow_stream, op4_rules, op5_suffix, op6_media, op7_topk, op8_mixing, op9_compaction, op10_order_minhash, tokens
@@ -191,6 +192,35 @@ def test_lines_of_a_crowd(spark):
             assert r.n_links == (links[lines[r.doc_id]] if every else None)
 
 
+def test_crowded_lines_meet_once(spark, monkeypatch):
+    """A link between lines of several crowded buckets is found in one tile, whatever buckets and parts they are in."""
+    rnd = random.Random(6)
+    lines = set()
+    for n in (62, 64, 66, 240, 250):
+        base = [rnd.choice("abcdefgh   ") for _ in range(n)]
+        for _ in range(60):
+            x = list(base)
+            for _ in range(rnd.randint(0, n // 20)):
+                x[rnd.randrange(n)] = rnd.choice("XYZ")
+            lines.add("".join(x) + "e" * rnd.randint(0, 2))
+    lines = sorted(lines)
+    texts = spark.createDataFrame([(i, 1000 + i, x) for i, x in enumerate(lines)], "id long, h long, line string")
+    # each line is in ten of thirty buckets, and any two lines are in one
+    crowds = spark.createDataFrame([(b, 1000 + i, b, -1) for b in range(30) for i in range(len(lines)) if b < 8 or (i + b) % 3 == 0], "tile long, a long, b long, votes long")
+    want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if abs(len(a) - len(b)) <= 12 and op1_line_dedup._long_within(*sorted((a, b), key=len), min(len(a), len(b)) // 20)}
+    for part in (2048, 40):
+        monkeypatch.setattr(op1_line_dedup, "PART", part)
+        got = [(r.b, r.a) for r in op1_line_dedup.crowded(crowds, texts, None).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    known = texts.withColumn("c", F.col("h") % 7)
+    classes = Classes()
+    for r in op1_line_dedup.crowded(crowds, known, None).collect():
+        classes.join(r.a, r.b)
+    for i in range(len(lines)):
+        classes.join(i, i % 7 if (1000 + i) % 7 == (1000 + i % 7) % 7 else i)
+    assert all(classes.find(i) == classes.find(j) for i, j in want)
+
+
 def test_long_edits_random():
     rnd = random.Random(9)
     a, b = [], []

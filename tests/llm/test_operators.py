@@ -221,6 +221,18 @@ def test_crowded_lines_meet_once(spark, monkeypatch):
     assert all(classes.find(i) == classes.find(j) for i, j in want)
 
 
+def test_distances_of_many_kinds(monkeypatch):
+    """Lines of many kinds of characters are compared in smaller batches, with equal distances."""
+    rnd = random.Random(10)
+    texts = ["".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(90)) for _ in range(40)]
+    texts += [x[:30] + x[33:] + "abc" for x in texts]
+    lines, p, t = op1_line_dedup.Lines(texts), np.arange(40), np.arange(40, 80)
+    want = lines.distances(p, t, 31)
+    assert want.tolist() == [levenshtein(texts[i], texts[j]) for i, j in zip(p, t)]
+    monkeypatch.setattr(op1_line_dedup, "WORDS", 10_000)
+    assert (lines.distances(p, t, 31) == want).all()
+
+
 def test_long_edits_random():
     rnd = random.Random(9)
     a, b = [], []

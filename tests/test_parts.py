@@ -179,3 +179,51 @@ def test_features(spark):
     rows = spans.paragraphs(docs).withColumn("attrs", F.create_map(F.lit("k"), F.lit("v")))
     assert {r.path for r in spans.discovered_paths(rows).collect()} == {"Span:id", "Segment:level", "Paragraph:k"}
     assert "Annotation:begin" in {r.path for r in spans.discovered_paths(rows, True).collect()}
+
+
+def test_packed_cells(spark, monkeypatch):
+    """Sums of pairs from word lists and from tokens against loops: through many small sums and ranges, in order if wanted, with
+    documents that recur or have no number, and parts of a corpus added up."""
+    from corpusmill.operators import cells, matrix
+
+    for name, n in (("PAIRS", 64), ("SUMS", 50), ("ROWS", 7), ("RANGE", 100)):
+        monkeypatch.setattr(cells, name, n)
+    rng = np.random.default_rng(8)
+    texts = [(d, " ".join(f"{'abcdefghijklmnopq'[min(16, x)]}" for x in rng.geometric(0.2, rng.integers(0, 60)))) for d in [*range(12), 3, None]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for rows in (docs.where("doc_id <> 3"), docs):  # a document that comes twice is one
+        lists = tokens.word_lists(rows)
+        lex = lexicon.lexicon(lists, 2)
+        idx = {r.term: r.idx for r in lex.collect()}
+        of = {}
+        for r in rows.collect():
+            of.setdefault(r.doc_id, []).extend((p, idx[t]) for p, t in enumerate(r.text.split()) if t in idx)
+        for before, after in ((10, 10), (2, 5), (5, 0), (30, 25)):
+            want = {}
+            for d, own in of.items():
+                for p, a in own if d is not None else ():
+                    for q, b in own:
+                        if p - before <= q <= p + after and p != q:
+                            want[a, b] = want.get((a, b), 0) + 1 / abs(p - q)
+            for source in (lists, tokens.from_lists(lists)):
+                for ordered in (False, True):
+                    got = [((r.i, r.j), r.x) for r in datasets.cooccurrence(source, lex, before, after, ordered=ordered).collect()]
+                    assert len(got) == len(want) and all(abs(x - want[k]) < 1e-9 for k, x in got)
+                    assert not ordered or got == sorted(got)
+    parts = [datasets.cooccurrence(lists, lex, 3, 1, docs.where(c).select(F.col("doc_id").alias("doc_num"))) for c in ("doc_id < 5", "doc_id >= 5")]
+    whole = {(r.i, r.j): r.s for r in datasets.cooccurrence(lists, lex, 3, 1).collect()}
+    added = matrix.merge(*parts, value="s")
+    assert {(r.i, r.j): r.s for r in added.collect()} == whole
+    assert {(r.i, r.j): r.s for r in matrix.merge(*(p.select("*") for p in parts), value="s").collect()} == whole
+
+
+def test_ordered_matrix_is_written_as_it_comes(spark, tmp_path):
+    """Triplets and files of a matrix that comes in order need no sort of their own."""
+    from corpusmill.operators import matrix
+
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate("abcacbadcb")], "doc_num long, pos int, term string")
+    cells = datasets.cooccurrence(rows, lexicon.lexicon(rows), 3, 3, ordered=True)
+    assert "Sort" not in matrix.triplets(cells)._jdf.queryExecution().logical().toString()
+    sinks.write_matrix(cells, f"file://{tmp_path}/m")
+    got = [tuple(r) for r in sinks.read_matrix(spark, f"file://{tmp_path}/m").collect()]
+    assert sorted(got) == [(r.i, r.j, r.x) for r in cells.collect()] and got

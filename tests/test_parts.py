@@ -227,3 +227,19 @@ def test_ordered_matrix_is_written_as_it_comes(spark, tmp_path):
     sinks.write_matrix(cells, f"file://{tmp_path}/m")
     got = [tuple(r) for r in sinks.read_matrix(spark, f"file://{tmp_path}/m").collect()]
     assert sorted(got) == [(r.i, r.j, r.x) for r in cells.collect()] and got
+
+
+def test_markup_workers_hold_a_portion(spark, monkeypatch):
+    """A worker returns parsed documents some at a time, with a bounded number of annotations and characters."""
+    from corpusmill.sources.markup import Mapping, _portions, read_markup
+
+    found = [{"annotations": [{}] * 5, "text": "x" * 10} for _ in range(100)]
+    monkeypatch.setattr(markup, "ANNOTATIONS_AT_ONCE", 24)
+    assert [len(x) for x in _portions(iter(found))] == [4] * 25
+    monkeypatch.setattr(markup, "CHARS_AT_ONCE", 20)
+    assert sum(map(len, _portions(iter(found)))) == 100 and max(map(len, _portions(iter(found)))) == 2
+    rows = spark.createDataFrame([(i, f"<p a='{i}' b=''>t{i}</p>" if i % 3 else None) for i in range(40)], "k long, c string").coalesce(1)
+    got = read_markup(rows, "k", "c", Mapping(types={"p": "Segment"})).collect()
+    assert sorted(int(r.doc_id) for r in got) == list(range(40))
+    assert all(r.annotations[0].attrs == {"a": r.doc_id, "b": "", "xpath": f"/{r.doc_id}"} and r.text == f"t{r.doc_id}" for r in got if int(r.doc_id) % 3)
+    assert all(r.annotations == [] and r.text == "" and r["index"] == 1 for r in got if int(r.doc_id) % 3 == 0)

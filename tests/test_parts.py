@@ -243,3 +243,36 @@ def test_markup_workers_hold_a_portion(spark, monkeypatch):
     assert sorted(int(r.doc_id) for r in got) == list(range(40))
     assert all(r.annotations[0].attrs == {"a": r.doc_id, "b": "", "xpath": f"/{r.doc_id}"} and r.text == f"t{r.doc_id}" for r in got if int(r.doc_id) % 3)
     assert all(r.annotations == [] and r.text == "" and r["index"] == 1 for r in got if int(r.doc_id) % 3 == 0)
+
+
+def test_words_stay_with_their_document(spark):
+    """Words, paragraphs and their pairs are dealt by document once: texts are, not words."""
+    docs = spark.createDataFrame([(i, "a bc\n\nd  efg\n" * 80) for i in range(9)] + [(None, "x y"), (50, None)], "doc_id long, text string")
+    words = tokens.word_spans(docs).select(F.col("doc_num").alias("doc_id"), (F.col("pos") + 1_000_000).alias("ann_id"), "begin", "end", "surface")
+    pairs = spans.covered(spans.paragraphs(docs).select("doc_id", "ann_id", "begin", "end"), words)
+    rows = pairs.groupBy("doc_id", "s_ann_id").agg(F.array_sort(F.collect_list("m_surface")).alias("x"))
+    found = rows.collect()
+    assert len(found) == 9 * 160 and {tuple(r.x) for r in found} == {("a", "bc"), ("d", "efg")}
+    plan = rows.select("*")._jdf.queryExecution().executedPlan().toString()  # before it runs
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the texts of both sides
+    by_type = spans.listed_by_types(pairs.withColumn("m_type_path", F.array(F.lit("Token"))), ["Entity", "Token"]).collect()
+    assert {(r.of_type, r.n, len(r.ids)) for r in by_type} == {("Entity", 0, 0), ("Token", 2, 2)} and len(by_type) == 2 * 9 * 160
+
+
+def test_index_cuts_long_texts(spark):
+    """Covered texts of long documents, also beyond one piece and outside of the basic plane; tokens of a compacted index, by field."""
+    from corpusmill.operators.indexing import index_segments
+
+    texts = {1: "".join(f"w{i}\U0001f600é " for i in range(900)), 2: "x" * 1300, 3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path = lambda kind: F.array(*map(F.lit, spans.type_path(kind)))
+    marks = [(1, 5, 500, 530), (1, 6, 1020, 2100), (1, 7, 3, 3), (2, 5, 511, 1300)]
+    rows = spark.createDataFrame(marks + [(d, 1, 0, len(t or "")) for d, t in texts.items()], "doc_id long, ann_id long, begin int, end int")
+    kind = F.when(F.col("ann_id") == 1, "Paragraph").otherwise("Mark")
+    rows = rows.withColumn("type", kind).withColumn("type_path", F.when(F.col("ann_id") == 1, path("Paragraph")).otherwise(path("Mark")))
+    rows = rows.select("*", F.lit(None).cast("string").alias("id"), F.lit(None).cast("int").alias("level"), F.create_map().cast("map<string,string>").alias("attrs"))
+    specs = [tokens.TokenSpec("a", "Mark", tokens.TextTokenizer()), tokens.TokenSpec("b", "Mark", tokens.TextTokenizer())]
+    _, found = index_segments(docs, rows, specs, members=["Mark"])
+    want = sorted((texts[d][b:e], b, e) for d, _, b, e in marks if e > b)
+    for name in "ab":
+        assert sorted((r.term, r.begin, r.end) for r in found.where(F.col("field") == name).collect()) == want

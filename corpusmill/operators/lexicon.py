@@ -28,15 +28,23 @@ def counts_of_tokens(tokens: DataFrame) -> DataFrame:
     return by_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
+def _counts(source: DataFrame) -> DataFrame:
+    """term, tf, df; a stream that was just made of word lists is counted by these, unless a document may have several."""
+    lists = source if "terms" in source.columns else getattr(source, "_lists", None)
+    if lists is source or lists is not None and lists.groupBy("doc_num").count().where("count > 1").isEmpty():
+        return counts_of_lists(lists)
+    return counts_of_tokens(source)
+
+
 def lexicon(source: DataFrame, min_tf: int = 1) -> DataFrame:
     """idx, term, tf, df of the terms with at least min_tf occurrences; source: word lists or tokens."""
-    counts = counts_of_lists(source) if "terms" in source.columns else counts_of_tokens(source)
+    counts = _counts(source)
     return ranked(counts.where(F.col("tf") >= min_tf))
 
 
 def coverage(source: DataFrame, min_tf: int) -> DataFrame:
     """u_freq, n_freq (tokens in all, and of kept terms), cover, size; one row."""
-    counts = counts_of_lists(source) if "terms" in source.columns else counts_of_tokens(source)
+    counts = _counts(source)
     kept = F.col("tf") >= min_tf
     sums = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("u_freq"), F.coalesce(F.sum(F.when(kept, F.col("tf"))), F.lit(0)).alias("n_freq"), F.count(F.when(kept, 1)).alias("size"))
     return sums.select("u_freq", "n_freq", (F.col("n_freq") / F.col("u_freq")).alias("cover"), "size")

@@ -24,11 +24,13 @@ class Corpus:
         doc = doc or settings.doc_id
         self.docs, self.settings, self.doc, self.indexed = docs, settings, doc, tokens is not None
         if tokens is not None and "field" in tokens.columns:
-            fields = sorted(r["field"] for r in tokens.select("field").distinct().limit(1000).collect())  # an index has few
-            if settings.field_txt in fields:
-                tokens = tokens.where(F.col("field") == settings.field_txt)
-            elif len(fields) > 1:
-                raise ValueError(f"no field {settings.field_txt!r}; there are {fields}")
+            own = tokens.where(F.col("field") == settings.field_txt)
+            if not own.isEmpty():
+                tokens = own
+            else:
+                fields = sorted(r["field"] for r in tokens.select("field").distinct().limit(1000).collect())  # an index has few
+                if len(fields) > 1:
+                    raise ValueError(f"no field {settings.field_txt!r}; there are {fields}")
         split = settings.field_split if settings.field_split in docs.columns else None
         self.split = split
         if tokens is None:

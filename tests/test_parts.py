@@ -276,3 +276,18 @@ def test_index_cuts_long_texts(spark):
     want = sorted((texts[d][b:e], b, e) for d, _, b, e in marks if e > b)
     for name in "ab":
         assert sorted((r.term, r.begin, r.end) for r in found.where(F.col("field") == name).collect()) == want
+
+
+def test_arrivals_of_large_tables(spark, monkeypatch):
+    """Files that arrive are of a bounded size, whatever the table's, and all of them are counted."""
+    from corpusmill.plans import catalogue, catalogue_parts
+
+    sf = "/root/testdata/sf0.001"
+    assert catalogue_parts._arrivals(spark, sf)[2] == 1
+    monkeypatch.setattr(catalogue_parts, "ARRIVED_BYTES", 20_000)
+    folder, _, at_once = catalogue_parts._arrivals(spark, sf)
+    size = spark.read.parquet(folder).groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert at_once > 3 and len(size) > 2 * at_once and sorted(r.n for r in size)[len(size) // 2] < 40_000
+    want = catalogue._tokens(spark, sf).count()
+    assert catalogue.queries()["stream_tokens"](spark, sf).count() == want
+    assert catalogue.queries()["stream_counts"](spark, sf).agg(F.sum("tf")).first()[0] == want
